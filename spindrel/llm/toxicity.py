@@ -36,8 +36,8 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåçèéêëíìîïñóòôöõ
 #: Classes of characters for the model: 0 is what stands outside of words.
 _CLASS = {c: i + 1 for i, c in enumerate(_LETTERS)}
 SIZE = 64
-_ODD = re.compile(r"[^\W\d_][^\s]*[\d@$!|+(€£%#*._-][^\s]*[^\W\d_]|^[\d@$!|+(€£%#][^\W\d_]|[^\W\d_][\d@$!|+€£]|([^\W\d_])\1\1", re.ASCII ^ re.ASCII)
-_SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){3,}\S(?!\S)")
+_ODD = re.compile(r"[^\W\d_][^\s]*[\d@$!|+(€£%#*._-][^\s]*[^\W\d_]|^[\d@$!|+(€£%#][^\W\d_]|[^\W\d_][\d@$!|+€£]|([^\W\d_])\1\1")
+_SPACED = re.compile(r"(?:(?<= )|^)(?:\S ){3,63}\S(?= |$)")
 _EDGES = "\"'.,;:!?()[]{}<>*#$%&|-_/\\~`"
 
 
@@ -130,13 +130,14 @@ class Restorer:
             self.known.clear()
         text = text.lower()
         found: set[str] = set()
-        for token in set(text.split()):
+        tokens = text.split()
+        for token in set(tokens):
             if (got := self.known.get(token)) is None:
                 got = self.known[token] = self._token(token)
             found.update(got)
-        for match in _SPACED.finditer(text):
-            letters = re.sub(r"[ .\-_*]", "", match[0])
-            found.add(restore(letters, self.model))
+        if sum(map((1).__eq__, map(len, tokens))) >= 4:
+            for match in _SPACED.finditer(" ".join(tokens)):
+                found.add(restore(match[0].replace(" ", ""), self.model))
         found.discard("")
         return found
 
