@@ -187,9 +187,8 @@ def keep_one(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS) -> Da
     Of repeated rows with that doc_id one stays.  Texts without words (null, empty, white
     space) hold nothing and all share fingerprint zero: one of them stays like of any other.
     """
-    names = docs.columns
-    marked = written(fingerprints(docs.withColumnsRenamed({"fp": "given fp"}), words=words, keep=[("given fp" if c == "fp" else c) for c in names if c != "text"] + ["text"]), "simhash-docs")
+    safe = docs.toDF(*[c if c in ("doc_id", "text") else f"given {c}" for c in docs.columns])
+    marked = written(fingerprints(safe, words=words, keep=safe.columns), "simhash-docs")
     of = cluster(marked.select("doc_id", "fp"), radius=radius)
-    first = marked.join(of, "fp").where("doc_id <=> component_id")
-    first = first.dropDuplicates(["doc_id", "fp"]).drop("fp", "component_id")
-    return first.select(*[F.col("`given fp`").alias("fp") if c == "fp" else F.col(f"`{c}`") for c in names])
+    first = marked.join(of, "fp").where("doc_id <=> component_id").dropDuplicates(["doc_id", "fp"])
+    return first.select(*[F.col(f"`{new}`").alias(c) for c, new in zip(docs.columns, safe.columns)])
