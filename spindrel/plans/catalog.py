@@ -693,3 +693,62 @@ def pipeline_batch(spark, d):
 def pipeline_actions(spark, d):
     out = pipeline.run(X.vectors(spark, d), X.requests(spark, d), X.knn(spark, d), k=10)
     return out.select("request_id", "intent", "error", "label", r6("value", "value"), "nodes", "maturity_delta", "expanded")
+
+
+# --- the rest of the surface ---------------------------------------------------------------
+
+@query(with_ctes("emb") + "SELECT request_id, CAST(rank AS INTEGER) AS rank, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, id) AS rank FROM (SELECT a.id AS request_id, b.id AS id, list_cosine_similarity(a.v, b.v) AS s FROM emb a, emb b) WHERE s >= 0.1) WHERE rank <= 5")
+def vec_topk_all(spark, d):
+    v = X.vectors(spark, d)
+    return retrieval.batch_top_k(v, v.withColumnRenamed("id", "request_id"), 5).select("request_id", "rank", "id", r6("score", "score"))
+
+
+@query(with_ctes("nodes") + f"SELECT 'ecma:node:' || CAST(user_id AS VARCHAR) || ':' || event_type AS key, to_state AS state, usage_count, round({_MATURE.format(s='to_state')}, 6) AS maturity FROM (SELECT *, {_NEXT} AS to_state FROM nodes)")
+def node_persist(spark, d):
+    n = lifecycle.process(X.nodes(spark, d), X.NODE_THRESHOLDS)
+    key = F.concat(F.lit("ecma:node:"), F.col("user_id").cast("string"), F.lit(":"), F.col("event_type"))
+    saved = n.select(F.lit(1).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("timestamp_ms"), key.alias("key"), F.to_json(F.struct("state", "usage_count", "maturity")).alias("data"))
+    back = storage.recover(storage.entries(saved)).select("key", F.from_json("data", "state string, usage_count bigint, maturity double").alias("n"))
+    return back.select("key", "n.state", "n.usage_count", r6("n.maturity", "maturity"))
+
+
+@query("WITH q AS (SELECT user_id AS key, min(event_id) AS inserted, count(*) AS accesses FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY inserted DESC) AS newest, row_number() OVER (ORDER BY accesses DESC, key) AS most FROM q) SELECT key, newest <= 50 AS in_l1, most <= 40 AS in_l3 FROM r")
+def cache_evict(spark, d):
+    q = X.table(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg(F.min("event_id").alias("inserted"), F.count(F.lit(1)).alias("accesses"))
+    l1 = q.orderBy(F.desc("inserted")).limit(50).select("key", F.lit(True).alias("l1"))
+    l3 = q.orderBy(F.desc("accesses"), "key").limit(40).select("key", F.lit(True).alias("l3"))
+    return q.select("key").join(l1, "key", "left").join(l3, "key", "left").select("key", F.coalesce("l1", F.lit(False)).alias("in_l1"), F.coalesce("l3", F.lit(False)).alias("in_l3"))
+
+
+@query(_PEEK + " SELECT st.event_id, round(CASE WHEN st.k % 2 = 0 THEN pk.total ELSE pk.stepped END, 4) AS intensity, CASE WHEN st.k % 2 = 0 THEN CAST(0.99 AS DOUBLE) ELSE CAST(0.05 AS DOUBLE) END AS alpha FROM st JOIN pk ON pk.event_id = st.event_id")
+def memory_suspect_confirm(spark, d):
+    """Suspects (even k) are given the order that forgets, confirmed antigens a stimulus and the
+    order that keeps."""
+    s = _states(spark, d).withColumn("k", (F.col("now") - F.col("then")) / 60_000)
+    even = (F.col("k") % 2) == 0
+    given = [F.col(c) for c in ("modes", "then", "alpha")]
+    plain = memory_kernel.modulate(*given, F.lit(0.99), F.col("now"))["cached_intensity"]
+    raised = memory_kernel.step(*given, F.col("now"), F.lit(5.0))["cached_intensity"]
+    return s.select("event_id", F.round(F.when(even, plain).otherwise(raised), 4).alias("intensity"), F.when(even, 0.99).otherwise(0.05).alias("alpha"))
+
+
+@query(with_ctes("antig") + "SELECT id, severity, encounter_count FROM antig")
+def antigen_json_roundtrip(spark, d):
+    a = X.antigens(spark, d).select("id", "severity", "encounter_count")
+    path = f"{X.scratch(spark)}/antigens"
+    a.write.json(path)
+    return spark.read.schema(a.schema).json(path)
+
+
+@query("SELECT user_id, '[' || string_agg(CAST(event_id AS VARCHAR) || ':' || event_type, ',' ORDER BY event_id) || ']' AS log FROM events WHERE event_type IN ('error', 'signup') GROUP BY user_id")
+def error_log(spark, d):
+    e = X.table(spark, d, "events").where("event_type in ('error', 'signup')")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: F.concat_ws(":", x["event_id"].cast("string"), x["event_type"]))
+    return e.groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias("log"))
+
+
+@query("SELECT CAST(floor(event_id / CAST(500 AS DOUBLE)) AS BIGINT) AS tenant, count(*) AS total, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') / CAST(count(*) AS DOUBLE), 6) AS error_rate FROM events GROUP BY 1")
+def tenant_error_rate(spark, d):
+    e = X.table(spark, d, "events").withColumn("tenant", F.floor(F.col("event_id") / 500).cast("bigint"))
+    errors = F.count_if(F.col("event_type") == "error")
+    return e.groupBy("tenant").agg(F.count(F.lit(1)).alias("total"), errors.alias("errors"), r6(regulation.rate(errors, F.count(F.lit(1))), "error_rate"))
