@@ -6,10 +6,10 @@ becomes a lattice: each character stands for itself, for the letters it is used
 nothing, and a repeated letter may be one.  Viterbi finds the likeliest letters under channel
 and model; the restored text is scored by a logistic model over words and word beginnings.
 
-Labels are used only from rows whose crc32(doc_id as text) mod 3 is not 1.  Features are chosen
-by counts over all such rows; the logistic model is fitted on at most ``fit_rows`` of them (the
-least by a hash of the id).  The driver gathers the character counts (a table of fixed size),
-``max_features`` features, and ``fit_rows`` short lists.  Scoring is one scan without a shuffle.
+Labels are used only from rows whose crc32(doc_id as text) mod 3 is not 1, and of those at most
+``fit_rows`` (the least by a hash of the id): they choose the features and fit the logistic
+model.  The driver gathers the character counts (a table of fixed size), ``max_features``
+features, and ``fit_rows`` short lists.  Scoring is one scan without a shuffle.
 
 Edge cases: null and empty texts have no features and get the score of the intercept; without
 labels every score is one half of nothing learned (the intercept zero); repeated rows get equal
@@ -210,7 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, max_fea
     counts = character_counts(docs)
     sent = docs.sparkSession.sparkContext.broadcast(counts)
     marked = labels.where(F.col("toxic").isNotNull() & (crc_of_id() % 3 != 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.where(crc_of_id() % 3 != 1).select("doc_id", "text").join(marked, "doc_id")
+    few = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    rows = docs.where(crc_of_id() % 3 != 1).select("doc_id", "text").join(F.broadcast(few), "doc_id")  # two numbers a row, fit_rows of them
 
     def run(batches):
         restorer = _restorer(sent.value)
@@ -229,9 +230,8 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, max_fea
     chosen = each.where(F.col("n") >= min_rows).withColumn("weight", F.abs(odds) * F.sqrt("n")).orderBy(F.desc("weight"), "feature").limit(max_features)
     names = [r["feature"] for r in chosen.select("feature").collect()]
     place = {f: i for i, f in enumerate(names)}
-    few = read.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    own = F.array(*[F.lit(x) for x in ()]).cast("array<string>") if not names else F.array_intersect("features", F.lit(names))
-    sample = few.select("toxic", own.alias("features")).collect()  # at most fit_rows short lists
+    own = F.array_intersect("features", F.lit(names)) if names else F.array().cast("array<string>")
+    sample = read.orderBy("doc_id").select("toxic", own.alias("features")).collect()  # short lists of at most fit_rows documents
     weights, intercept = fit_logistic([[place[f] for f in r["features"]] for r in sample], np.array([r["toxic"] for r in sample], float), len(names))
     return Scorer(counts, dict(zip(names, weights.tolist())), intercept)
 
