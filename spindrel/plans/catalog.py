@@ -596,7 +596,7 @@ def kv_read(spark, d):
 
 @query("SELECT event_id AS seq, (epoch_us(ts) // 1000) AS timestamp_ms, 'INSERT' AS operation, CAST(user_id AS VARCHAR) AS key, props AS data FROM events")
 def wal_replay(spark, d):
-    path = f"{X.scratch(spark)}/wal"
+    path = f"{storage.scratch(spark)}/wal"
     storage.append(_log(spark, d), path)
     return storage.replay(spark, path).select("seq", "timestamp_ms", "operation", "key", "data")
 
@@ -645,7 +645,7 @@ def query_log(spark, d):
 
 @query(f"WITH {_LEVELS} SELECT src, dst, round(level, 6) AS level FROM lv")
 def checkpoint_roundtrip(spark, d):
-    return storage.snapshot(X.bipartite(spark, d), f"{X.scratch(spark)}/snapshot").withColumn("level", r6("level"))
+    return storage.snapshot(X.bipartite(spark, d), f"{storage.scratch(spark)}/snapshot").withColumn("level", r6("level"))
 
 
 @query("SELECT user_id AS request_id, min(event_id) AS seq, arg_min(event_type, event_id) AS event_type FROM events GROUP BY 1")
@@ -735,7 +735,7 @@ def memory_suspect_confirm(spark, d):
 @query(with_ctes("antig") + "SELECT id, severity, encounter_count FROM antig")
 def antigen_json_roundtrip(spark, d):
     a = X.antigens(spark, d).select("id", "severity", "encounter_count")
-    path = f"{X.scratch(spark)}/antigens"
+    path = f"{storage.scratch(spark)}/antigens"
     a.write.json(path)
     return spark.read.schema(a.schema).json(path)
 

@@ -125,14 +125,3 @@ def bipartite(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names."""
-    import tempfile
-    import uuid
-
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='spindrel-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/{uuid.uuid4().hex}"

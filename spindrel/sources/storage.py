@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -57,6 +58,22 @@ def read_range(binary: Column, offset: int, length: int) -> Column:
     return F.when(F.lit(offset >= 0) & (F.octet_length(binary) >= offset + length), F.substring(binary, offset + 1, length))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one that the cluster names in spark.checkpoint.dir; only where
+    it names none, on this machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = f"file://{tempfile.mkdtemp(prefix='spindrel-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a written table: loops that join their own result would else double
+    their plan each round, and a lost executor would cost all rounds."""
+    return snapshot(df, scratch(df.sparkSession))
+
+
 def snapshot(df: DataFrame, path: str) -> DataFrame:
     """Write a state and read it again."""
     df.write.mode("overwrite").parquet(path)
