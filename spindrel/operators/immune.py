@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrel.functions import vector as V
 from spindrel.operators.retrieval import nearest
 
 DAY_MS = 86_400_000
