@@ -19,7 +19,6 @@ hash like empty text; extra columns are ignored; an empty table gives an empty r
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pyarrow as pa
