@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,17 @@ def groups_for(docs: DataFrame, group_bytes: int) -> int:
     return max(1, -(-int(total) // group_bytes))
 
 
+def chunks(batches: Iterator[pa.RecordBatch], limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about ``limit`` bytes of text each, at least one row; what
+    their predecessors took is given back to the system."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // limit)) + 1).tolist(), len(batch)] if len(batch) else []
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
+            pa.default_memory_pool().release_unused()
+
+
 def pack(docs: DataFrame, groups: int, columns: list[str], chunk: int = 2048) -> DataFrame:
     """(grp, packed): the given columns (``text`` among them) in blobs by group.
 
@@ -65,7 +77,7 @@ class Hashes(dict):
     """Word to its XXH64; kept for the words to come, up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = number = xxhash.xxh64_intdigest(word)
         return number

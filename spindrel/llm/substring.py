@@ -121,7 +121,7 @@ def _deal(shards: int, window: int, anchor: int):
     """Documents to segments, by shard; copies within the batch are marked."""
 
     def run(batches):
-        for batch in batches:
+        for batch in packing.chunks(batches):
             ids, texts = batch.column("id").to_numpy(zero_copy_only=False), batch.column("text").cast(pa.binary()).to_pylist()
             parts: list[tuple] = []
             for i, text in zip(ids.tolist(), texts):
@@ -254,6 +254,7 @@ def _clean(window: int):
             rows = packing.joined(found.column("packed"))
             for i, own, first, windows in zip(*(rows.column(c).to_pylist() for c in ("id", "own", "first", "windows"))):
                 hits.setdefault((i, own), []).append((first, first + windows + window - 1))
+        pa.default_memory_pool().release_unused()
         ids, n_words, n_removed, kept = [], [], [], []
         for i, own, words in _documents(docs):
             ranges = hits.get((i, own), ())
@@ -292,7 +293,7 @@ def _by_identity(rows: DataFrame, groups: int) -> DataFrame:
     """(grp, packed): documents by the hash of their text that their segments carry."""
 
     def run(batches):
-        for batch in batches:
+        for batch in packing.chunks(batches):
             own = np.fromiter((_identity(t) for t in batch.column("text").cast(pa.binary()).to_pylist()), np.int64, len(batch))
             for g, blob in _split(pa.Table.from_batches([batch]), _group_of(own, groups)):
                 yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([blob], pa.binary())], names=["grp", "packed"])
