@@ -228,6 +228,24 @@ def test_lines(spark, odd, none, docs):
     assert {r.text for r in clean.where("doc_id = 7").collect()} == {"Tie tie TIE.\n\nlast"}
 
 
+def test_lines_of_a_large_band(spark, monkeypatch):
+    """Pairs are found wherever they stand among lines on a common template."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 512, raising=False)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    head, lines = [word() for _ in range(30)], []
+    for _ in range(700):
+        tail = [word() for _ in range(12)]
+        lines += [" ".join(head + tail), " ".join(head + [*tail[:-1], word()])]
+    rng.shuffle(lines)
+    made = dict(enumerate(lines))
+    want = plain_lines(made)
+    distinct = line_dedup.distinct_lines(frame := spark.createDataFrame(list(made.items()), "doc_id bigint, text string").repartition(4)).persist()
+    assert distinct.select(F.explode("bands").alias("band")).groupBy("band").count().agg(F.max("count")).first()[0] > line_dedup.BLOCK
+    got = {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(frame).collect()}
+    assert {i for i in made if got[i]} == {i for i in made if want.get(i)} and sum(map(len, want.values())) == 700
+
+
 def test_line_bands_recall(spark):
     """Pairs at a similarity of 0.8 to 0.9 share a band."""
     rng = random.Random(5)
