@@ -31,7 +31,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

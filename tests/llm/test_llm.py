@@ -242,10 +242,39 @@ def test_lines_of_a_large_band(spark, monkeypatch):
     want = plain_lines(made)
     distinct = line_dedup.distinct_lines(frame := spark.createDataFrame(list(made.items()), "doc_id bigint, text string").repartition(4)).persist()
     assert distinct.select(F.explode("bands").alias("band")).groupBy("band").count().agg(F.max("count")).first()[0] > line_dedup.BLOCK
+    assert sum(r.n_removed for r in line_dedup.removed_lines(frame, whole=True).collect()) == 700
     got = {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(frame).collect()}
     assert {i for i in made if got[i]} == {i for i in made if want.get(i)} and sum(map(len, want.values())) == 700
 
 
+def test_lines_by_every_position(spark, odd, none):
+    """All positions count: unspaced lines with an early insertion, and spaced lines, by plain sets."""
+    rng = random.Random(7)
+    lines = []
+    for n in (100, 300, 1000):
+        for _ in range(20):
+            x = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+            lines += [x, x[:2] + "\u9999" + x[2:], x[: n // 2] + x[: n // 2]]
+    for _ in range(60):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(12, 40))]
+        lines += [" ".join(words), " ".join(words[:-1]), " ".join([*words[:3], "zz", *words[3:]])]
+    lines += ["short", "short", "tiny", "Short "]
+    made = dict(enumerate(lines))
+    sets = {i: {n[k : k + 12] for k in range(max(1, len(n) - 11))} for i, n in ((i, x.strip().lower()) for i, x in made.items())}
+    least = dict(zip(sets, sets))
+    for i in sets:
+        for j in range(i):
+            if least[i] != least[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((least[i], least[j]))
+                least = {k: low if v == high else v for k, v in least.items()}
+    want = {i for i in sets if least[i] != i}
+    frame = spark.createDataFrame(list(made.items()), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id for r in line_dedup.removed_lines(frame, whole=True).collect() if r.n_removed}
+    assert got <= want and len(want - got) <= 0.03 * len(want) and len(want) > 100
+    assert set(range(1, 180, 3)) <= got
+    assert line_dedup.removed_lines(odd, whole=True).count() == len(ODD) and line_dedup.removed_lines(none, whole=True).count() == 0
+
+
 def test_line_bands_recall(spark):
     """Pairs at a similarity of 0.8 to 0.9 share a band."""
     rng = random.Random(5)
