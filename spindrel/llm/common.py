@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Folders written by this session, for :func:`purge`.
 _WRITTEN: list[str] = []
@@ -15,10 +16,13 @@ _WRITTEN: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (as in tests) a folder of this machine is set.
+    Where none is named, a local session (as in tests) gets a folder of this machine; a cluster
+    is refused, since its executors would not see that folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not (spark.conf.get("spark.master", "") or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spindrel-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -57,3 +61,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def crc_of_id(column: str = "doc_id"):
     """crc32 of an id written as text, unsigned.  A null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+def id_key(docs: DataFrame, column: str = "doc_id") -> Column:
+    """An id to group and order by: whole numbers as longs, all else as text; never null, so null
+    ids must be told apart besides."""
+    whole = isinstance(docs.schema[column].dataType, IntegralType)
+    return F.coalesce(F.col(f"`{column}`").cast("bigint" if whole else "string"), F.lit(0).cast("bigint") if whole else F.lit(""))
