@@ -1,22 +1,24 @@
 """Quality rules by weak supervision, in DataFrame operations.
 
-Each rule votes that a text is good (1) or bad (-1), or abstains (0).  Rules are not trusted
-alike: expectation-maximisation over the counts of the vote patterns (at most 3 ** rules rows,
-whatever the input) estimates how often each rule is right when it votes, and the share of good
-texts; the posterior probability of good replaces the demand that every rule be met.
+Each rule votes that a text is good (1) or bad (-1), or abstains (0): good within its sound range,
+bad beyond its bounds, nothing in between.  Rules are not trusted alike: expectation-maximisation
+over the counts of the vote patterns (at most 3 ** rules rows, whatever the input) estimates the
+chances of each rule's three votes on good and on bad texts, and the share of good texts.  All
+rules start from the same chances and none is held to a bound, so what a vote weighs comes from
+how it agrees with the others.  The posterior probability of good decides: a lone bad vote of a
+rule that is often alone with it rejects nothing, two weak ones that agree may.
 
 Documents are not shuffled: words, repeated windows and lines are counted within the row by
 array functions, in n log n; only vote patterns are aggregated.
 
-Edge cases: null texts have no words and fail the base rules; rows are judged one by one, so
-repeated rows and ties get equal verdicts; an empty table gives an empty result and prior
-accuracies; clashing column names are kept aside by :func:`filter_documents`.
+Edge cases: null texts have no words, no votes, and fail the base rules; rows are judged one by
+one, so repeated rows and ties get equal verdicts; an empty table gives an empty result and the
+chances of the start; clashing column names are kept aside by :func:`filter_documents`.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,27 +26,24 @@ from spindrel.llm.common import written
 
 #: The base rules: too few words, or too many of them within repeated three-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
-#: Rules that look for a symptom: a bad vote from the bound on, else none, since a text without
-#: one kind of fault may have another.  (name, share or ratio, bad from)
+#: (name, ratio, bad below, good from, good to, bad above)
 RULES = (
-    ("symbols", "n_symbols / n_words", 0.30),
-    ("duplicate lines", "n_dup_lines / n_lines", 0.50),
-    ("repeated words", "n_repeat_words / n_words", 0.45),
-    ("capitals", "n_upper / word_chars", 0.55),
-    ("digits", "n_digits / word_chars", 0.25),
-    ("one-character words", "n_short / n_words", 0.45),
-)
-#: Rules that vote either way.  (name, expression, bad below, good from, good to, bad above)
-RANGES = (
-    ("length", "n_words", 50, 80, 1e12, 1e13),
-    ("word length", "word_chars / n_words", 2.0, 3.0, 12.0, 16.0),
+    ("symbols to words", "n_symbols / n_words", None, 0.0, 0.02, 0.10),
+    ("punctuation in words", "n_punct / word_chars", None, 0.005, 0.08, 0.15),
+    ("distinct words", "n_distinct / n_words", 0.40, 0.50, 1.0, None),
+    ("words in repeated windows", "n_repeat_words / n_words", None, 0.0, 0.20, 0.30),
+    ("repeated lines", "n_dup_lines / n_lines", None, 0.0, 0.20, 0.30),
+    ("capitals", "n_upper / word_chars", None, 0.001, 0.10, 0.30),
+    ("digits", "n_digits / word_chars", None, 0.0, 0.08, 0.20),
+    ("words of one character", "n_short / n_words", None, 0.0, 0.10, 0.25),
+    ("length of words", "word_chars / n_words", 2.5, 3.0, 7.0, 10.0),
 )
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the counts
-    that the rules need (n_lines, n_upper, n_digits, n_short); all are longs."""
+    that the rules need (n_lines, n_upper, n_digits, n_short, n_distinct, n_punct); all are longs."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     out = docs.withColumn("q_words", F.filter(F.split(body, _SPACE), lambda w: w != ""))
     out = out.withColumn("q_joined", F.array_join("q_words", ""))
@@ -60,13 +59,13 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     long = lambda c: c.cast("long")
     out = out.withColumns({
         "word_chars": long(F.length("q_joined")), "n_symbols": long(F.regexp_count(body, F.lit(r"[#*$%&|<>]"))), "n_lines": long(F.size("q_lines")),
-        "n_dup_lines": long(F.size("q_lines") - F.size(F.array_distinct("q_lines"))), "n_upper": long(F.regexp_count("q_joined", F.lit("[A-Z]"))), "n_digits": long(F.regexp_count("q_joined", F.lit("[0-9]"))),
-        "n_short": long(F.size(F.filter("q_words", lambda w: F.length(w) == 1))),
+        "n_dup_lines": long(F.size("q_lines") - F.size(F.array_distinct("q_lines"))), "n_upper": long(F.regexp_count("q_joined", F.lit(r"\p{Lu}"))), "n_digits": long(F.regexp_count("q_joined", F.lit("[0-9]"))),
+        "n_short": long(F.size(F.filter("q_words", lambda w: F.length(w) == 1))), "n_distinct": long(F.size(F.array_distinct("q_hash"))), "n_punct": long(F.regexp_count("q_joined", F.lit(r"[^\p{L}\p{M}\p{N}]"))),
     })
     return out.drop("q_words", "q_joined", "q_lines", "q_hash", "q_windows", "q_sorted", "q_at")
 
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_short"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_short", "n_distinct", "n_punct"]
 
 
 def base_failed() -> Column:
@@ -74,68 +73,56 @@ def base_failed() -> Column:
 
 
 def votes() -> Column:
-    """The votes of all rules as one array of -1, 0 and 1; a text without words gets no good vote."""
-    share = lambda e: f"coalesce(try_divide(cast({e.split(' / ')[0]} as double), {e.split(' / ')[1]}), 0D)" if " / " in e else f"cast({e} as double)"
-    rules = [f"case when n_words > 0 and {share(e)} >= {bad}D then -1 else 0 end" for _, e, bad in RULES]
-    rules += [f"case when {share(e)} < {low}D or {share(e)} > {high}D then -1 when {share(e)} between {a}D and {b}D then 1 else 0 end" for _, e, low, a, b, high in RANGES]
-    return F.expr(f"array({', '.join(rules)})")
+    """The votes of all rules as one array of -1, 0 and 1; a text without words gets none."""
+
+    def vote(ratio, low, a, b, high):
+        x = "try_divide(cast({} as double), {})".format(*ratio.split(" / "))
+        bad = " or ".join(f"{x} {sign} {bound}D" for sign, bound in (("<", low), (">", high)) if bound is not None)
+        return f"case when n_words = 0 then 0 when {bad} then -1 when {x} between {a}D and {b}D then 1 else 0 end"
 
+    return F.expr(f"array({', '.join(vote(*rule) for _, *rule in RULES)})")
 
-#: Where the estimate starts: the share of good texts, and the chances of a bad vote, none and a
-#: good vote of the rules that look for a symptom, and of those that vote either way.
-SHARE = 0.85
-STARTS = [((0.01, 0.99, 0.0), (0.20, 0.80, 0.0))] * len(RULES) + [((0.01, 0.19, 0.80), (0.10, 0.20, 0.70))] * len(RANGES)
-#: A rule raises a false alarm on at most this share of the good texts: bounds are set so that
-#: a bad vote is rare, and faults of different kinds seldom come together, from which alone the
-#: estimate would take the commonest fault for a kind of good text.
-FALSE_ALARM = 0.01
 
-Chances = list[tuple[tuple[float, float, float], tuple[float, float, float]]]
+#: Where the estimate starts, alike for all rules: the share of good texts, and the chances of a
+#: bad vote, none and a good vote on good and on bad texts.  With these one bad vote among good
+#: ones leaves a text good and two make it bad; a fault shows in few of the rules.
+SHARE, GOOD, BAD = 0.8, (0.02, 0.10, 0.88), (0.25, 0.15, 0.60)
 
+Chances = list[tuple[tuple[float, ...], tuple[float, ...]]]
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], *, rounds: int = 200, weight: float = 20.0) -> tuple[float, Chances]:
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], *, rounds: int = 500, weight: float = 20.0) -> tuple[float, Chances]:
     """Expectation-maximisation over (votes, rows): the share of good texts, and of each rule the
     chances of its three votes on good and on bad texts.
 
-    All start from the constants above, which also count as ``weight`` imagined rows of each
-    kind, so that a rule that never votes, or an empty table, has chances too.
+    The start also counts as ``weight`` imagined rows of each kind, so that a rule that never
+    votes, or an empty table, has chances too.
     """
-    share, chances = SHARE, STARTS
-    total = sum(n for _, n in patterns)
+    cast = np.array([v for v, _ in patterns], int).reshape(len(patterns), len(RULES))
+    voted = np.stack([cast == kind for kind in (-1, 0, 1)], axis=2).astype(float)
+    rows = np.array([n for _, n in patterns], float)
+    begin = np.array([[GOOD] * len(RULES), [BAD] * len(RULES)])
+    share, chances = SHARE, begin
     for _ in range(rounds):
-        good = [posterior(v, share, chances) for v, _ in patterns]
-        of_good = sum(g * n for g, (_, n) in zip(good, patterns))
-        new: Chances = []
-        for j, starts in enumerate(STARTS):
-            pair = []
-            for of, start, part in ((of_good, starts[0], lambda g: g), (total - of_good, starts[1], lambda g: 1 - g)):
-                hits = [sum(part(g) * n for g, (v, n) in zip(good, patterns) if v[j] == kind) for kind in (-1, 0, 1)]
-                pair.append(tuple((hit + s * weight) / (of + weight) for hit, s in zip(hits, start)))
-            alarm = min(pair[0][0], FALSE_ALARM)
-            rest = (1 - alarm) / (1 - pair[0][0])
-            new.append(((alarm, pair[0][1] * rest, pair[0][2] * rest), pair[1]))
-        moved = abs((now := (of_good + SHARE * weight) / (total + weight)) - share)
-        share, chances = min(0.999, max(0.001, now)), new
-        if moved < 1e-9:
+        odds = np.log(share / (1 - share)) + np.tensordot(voted, np.log(chances[0] / chances[1]), 2)
+        good = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        hits = np.stack([np.tensordot(rows * part, voted, 1) for part in (good, 1 - good)]) + weight * begin
+        chances = hits / hits.sum(2, keepdims=True)
+        before, share = share, float((rows @ good + SHARE * weight) / (rows.sum() + weight))
+        if abs(share - before) < 1e-10:
             break
-    return share, chances
+    return share, [(tuple(g), tuple(b)) for g, b in zip(chances[0].tolist(), chances[1].tolist())]
 
 
-def weights(share: float, chances: Chances) -> tuple[float, list[tuple[float, float, float]]]:
+def weights(share: float, chances: Chances) -> tuple[float, list[tuple[float, ...]]]:
     """The log odds of good: at the start, and what a bad vote, none and a good vote of each rule add."""
-    return math.log(share / (1 - share)), [tuple(math.log(max(g, 1e-9) / max(b, 1e-9)) for g, b in zip(good, bad)) for good, bad in chances]
-
-
-def posterior(vote: tuple[int, ...], share: float, chances: Chances) -> float:
-    start, each = weights(share, chances)
-    odds = start + sum(w[v + 1] for v, w in zip(vote, each))
-    return 1 / (1 + math.exp(-odds))
+    return float(np.log(share / (1 - share))), [tuple(np.log(np.divide(g, b)).tolist()) for g, b in chances]
 
 
 def judged(counted: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     """``counted`` (with the columns of :func:`measured`) with base_failed, posterior and kept."""
     voted = counted.withColumn("q_votes", votes())
-    found = voted.groupBy("q_votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** rules rows
+    found = voted.groupBy("q_votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** len(RULES) rows
     start, each = weights(*fit(sorted((tuple(r["q_votes"]), r["n"]) for r in found)))
     odds = F.lit(start)
     for j, (bad, none, good) in enumerate(each):
