@@ -6,20 +6,21 @@ starts earlier (smaller doc_id, or the same document and an earlier start) is re
 1. Windows are dealt to shards by content: the least hash of the word runs of ``anchor`` words
    within a window.  Equal windows have equal least hashes, so they meet in one shard, and no
    document is streamed to any other.  Consecutive windows with one anchor make a segment.
-2. Segments travel as hashes.  Of equal segments only the first needs its text; all others are
-   wholly repeated.  A task keeps the first of its own copies and passes on the rest as found,
-   so a passage in a third of all documents costs its shard a row a task.  Segments whose
-   anchor stands in no other segment are done.
-3. What is left (segments that may share some windows) gets its words.  Each shard builds an
-   FM-index over its segments; they are streamed through it by backward search over the
-   wavelet matrix, and the intervals of matching statistics that reach the window length give
-   the earliest start of each window.
+2. Segments travel as hashes.  A segment whose anchor stands in no other one is done.  Of equal
+   segments of one batch only the first goes on, once their words have been compared, so a
+   passage in a third of all documents costs its shard a row a batch.
+3. What shares an anchor gets its words.  Each shard builds a compressed FM-index over its
+   distinct segments, each at its first place.  All segments are streamed through it (equal
+   ones once) by backward search over the wavelet matrix; the interval of each match of a
+   window's length gives the earliest place of its words, and a window is removed wherever it
+   starts later than that.
 4. The word ranges found come back to the documents by groups.
 
 Nothing is collected to the driver but one sum.  Edge cases: null, empty and blank texts have no
-words; texts shorter than a window lose nothing; documents are ordered by id (null last), then
-by a hash of the text, so wholly equal rows count as one document and get one result each;
-extra columns are ignored; an empty table gives an empty result.
+words; texts shorter than a window lose nothing; documents are ordered by id (whole numbers as
+such, all else as text; null last), then by a hash of the text, so wholly equal rows count as
+one document and get one result each; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -33,14 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrel.llm import packing
-from spindrel.llm.common import written
+from spindrel.llm.common import id_key, written
 from spindrel.llm.fmindex import FMIndex
 
 WINDOW, ANCHOR = 20, 8
 #: Segments are cut after so many windows, so that a text that repeats itself has no endless one.
 MAX_RUN = 64
 _P = np.uint64(0x9E3779B97F4A7C15)
-_LAST = np.iinfo(np.int64).max
 
 
 def _words(text: str | bytes | None) -> list[bytes]:
@@ -99,11 +99,19 @@ def _group_of(text_hash: np.ndarray, groups: int) -> np.ndarray:
     return packing.bucket_of(packing.mix(text_hash.astype(np.uint64)), groups)
 
 
-_FOUND = {"id": pa.int64(), "own": pa.int64(), "first": pa.int32(), "windows": pa.int32()}
+def _table(**columns) -> pa.Table:
+    return pa.table({name: x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for name, x in columns.items()})
 
 
-def _table(**columns) -> pa.Table:
-    return pa.table({name: pa.array(x) for name, x in columns.items()})
+def _document(rows: pa.Table) -> np.ndarray:
+    """The place of each row's document in the order of documents: by id, null last, then text."""
+    null, own = rows.column("null").to_numpy(), rows.column("own").to_numpy()
+    ids = np.unique(rows.column("id").to_numpy(), return_inverse=True)[1]
+    order = np.lexsort((own, ids, null))
+    new = np.r_[False, (null[order][1:] != null[order][:-1]) | (ids[order][1:] != ids[order][:-1]) | (own[order][1:] != own[order][:-1])]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
 def _split(table: pa.Table, of: np.ndarray):
@@ -122,55 +130,65 @@ def _deal(shards: int, window: int, anchor: int):
 
     def run(batches):
         for batch in packing.chunks(batches):
-            ids, texts = batch.column("id").to_numpy(zero_copy_only=False), batch.column("text").cast(pa.binary()).to_pylist()
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            documents: list[list[bytes]] = []
             parts: list[tuple] = []
-            for i, text in zip(ids.tolist(), texts):
+            for row, text in enumerate(texts):
                 words = _words(text)
                 if len(words) < window:
                     continue
                 hashes = packing.hash_words(words)
                 first, windows, least, twice = segments(hashes, window, anchor)
-                parts.append((np.full(len(first), i), np.full(len(first), _identity(text)), first.astype(np.int32), windows.astype(np.int32), least, _segment_hash(hashes, first, windows + window - 1), twice))
+                parts.append((np.full(len(first), row), np.full(len(first), _identity(text)), np.full(len(first), len(documents)), first, windows, least, _segment_hash(hashes, first, windows + window - 1), twice))
+                documents.append(words)
             if not parts:
                 continue
-            i, own, first, windows, least, digest, twice = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((first, own, i, digest, least))
-            i, own, first, windows, least, digest, twice = (x[order] for x in (i, own, first, windows, least, digest, twice))
-            copy = np.r_[False, (least[1:] == least[:-1]) & (digest[1:] == digest[:-1])]
-            shard = packing.bucket_of(least, shards)
+            row, own, at, first, windows, least, digest, twice = (np.concatenate(x) for x in zip(*parts))
+            rows = _table(id=batch.column("id").take(pa.array(row)), null=batch.column("null").take(pa.array(row)), own=own, first=first.astype(np.int32), windows=windows.astype(np.int32), least=least, digest=digest, twice=twice)
+            order = np.lexsort((first, _document(rows), digest, least))
+            least, digest = least[order], digest[order]
+            same = np.r_[False, (least[1:] == least[:-1]) & (digest[1:] == digest[:-1])]
+            # a copy is one whose words are those of the first with these hashes
+            spelt = lambda i: documents[at[i]][first[i] : first[i] + windows[i] + window - 1]
+            copy, leader = np.zeros(len(order), bool), 0
+            leaders = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+            for k in np.flatnonzero(same).tolist():
+                if not k or leaders[k] != leader:
+                    leader = int(leaders[k])
+                    words = spelt(order[leader])
+                copy[order[k]] = spelt(order[k]) == words
+            del documents
+            shard = packing.bucket_of(rows.column("least").to_numpy(), shards)
             # copies are spread by document, since their place is known to be of no account
             shard[copy] = _group_of(own[copy], shards)
-            least[copy] = digest[copy] = 0
-            # in the order of the documents, in which ids and places take little room
-            order = np.lexsort((first, own, i))
-            i, own, first, windows, least, digest, twice, copy, shard = (x[order] for x in (i, own, first, windows, least, digest, twice, copy, shard))
-            rows = _table(id=i, own=own, first=first, windows=windows, least=least, digest=digest, twice=twice, copy=copy)
-            for s, blob in _split(rows, shard):
+            for name in ("least", "digest"):
+                value = rows.column(name).to_numpy().copy()
+                value[copy] = 0
+                rows = rows.set_column(rows.column_names.index(name), name, pa.array(value))
+            for s, blob in _split(rows.append_column("copy", pa.array(copy)), shard):
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "packed"])
 
     return run
 
 
+_KEPT = ["id", "null", "own", "first", "windows"]
+
+
 def _compare(groups: int):
-    """The segments of a shard: repeated ones, and those whose words are needed."""
+    """The segments of a shard: copies, and those whose words are needed."""
 
     def compare(key, table):
         rows = packing.joined(table.column("packed"))
-        i, own, first, windows, least, digest, twice, copy = (rows.column(c).to_numpy() for c in rows.column_names)
-        done = _table(id=i[copy], own=own[copy], first=first[copy], windows=windows[copy])
-        i, own, first, windows, least, digest, twice = (x[~copy] for x in (i, own, first, windows, least, digest, twice))
-        order = np.lexsort((first, own, i, digest, least))
-        i, own, first, windows, least, digest, twice = (x[order] for x in (i, own, first, windows, least, digest, twice))
-        new = np.r_[True, (least[1:] != least[:-1]) | (digest[1:] != digest[:-1])] if len(i) else np.empty(0, bool)
-        more = _table(id=i[~new], own=own[~new], first=first[~new], windows=windows[~new])
-        i, own, first, windows, least, twice = (x[new] for x in (i, own, first, windows, least, twice))
-        same = least[1:] == least[:-1]
-        shared = (np.r_[False, same] | np.r_[same, False]) if len(i) else np.empty(0, bool)
-        need = shared | twice
-        found = pa.concat_tables([done, more])
+        copy = rows.column("copy").to_numpy()
+        found, rows = rows.filter(pa.array(copy)).select(_KEPT), rows.filter(pa.array(~copy))
+        least = rows.column("least").to_numpy()
+        order = np.argsort(least)
+        same = least[order][1:] == least[order][:-1]
+        need = rows.column("twice").to_numpy().copy()
+        need[order] |= (np.r_[False, same] | np.r_[same, False]) if len(order) else False
+        asked = rows.filter(pa.array(need)).select([*_KEPT, "least"])
         out = [("found", g, b) for g, b in _split(found, _group_of(found.column("own").to_numpy(), groups))]
-        asked = _table(id=i[need], own=own[need], first=first[need], windows=windows[need], least=least[need])
-        out += [("asked", g, b) for g, b in _split(asked, _group_of(own[need], groups))]
+        out += [("asked", g, b) for g, b in _split(asked, _group_of(asked.column("own").to_numpy(), groups))]
         kind, grp, blob = zip(*out) if out else ((), (), ())
         return pa.table({"kind": pa.array(kind, pa.string()), "grp": pa.array(grp, pa.int32()), "packed": pa.array(blob, pa.binary())})
 
@@ -178,11 +196,15 @@ def _compare(groups: int):
 
 
 def _documents(docs: pa.Table):
-    """(id, identity, words) of the documents of a group."""
+    """((id, identity), words) of the documents of a group; a null id is None."""
     rows = packing.joined(docs.column("packed")) if len(docs) else None
     if rows is not None:
-        for i, text in zip(rows.column("id").to_pylist(), rows.column("text").cast(pa.binary()).to_pylist()):
-            yield i, _identity(text), _words(text)
+        for i, null, text in zip(rows.column("id").to_pylist(), rows.column("null").to_pylist(), rows.column("text").cast(pa.binary()).to_pylist()):
+            yield (None if null else i, _identity(text)), _words(text)
+
+
+def _names(rows: pa.Table):
+    return zip((None if n else i for i, n in zip(rows.column("id").to_pylist(), rows.column("null").to_pylist())), rows.column("own").to_pylist())
 
 
 def _fetch(shards: int, window: int):
@@ -192,13 +214,13 @@ def _fetch(shards: int, window: int):
         out = []
         if len(asked):
             rows = packing.joined(asked.column("packed"))
-            wanted: dict[tuple[int, int], list[int]] = {}
-            for at, k in enumerate(zip(rows.column("id").to_pylist(), rows.column("own").to_pylist())):
+            wanted: dict[tuple, list[int]] = {}
+            for at, k in enumerate(_names(rows)):
                 wanted.setdefault(k, []).append(at)
             first, windows = rows.column("first").to_numpy(), rows.column("windows").to_numpy()
             text: list[bytes | None] = [None] * len(rows)
-            for i, own, words in _documents(docs):
-                for at in wanted.pop((i, own), ()):
+            for k, words in _documents(docs):
+                for at in wanted.pop(k, ()):
                     text[at] = b" ".join(words[first[at] : first[at] + windows[at] + window - 1])
             full = rows.append_column("text", pa.array(text, pa.binary()))
             out = list(_split(full, packing.bucket_of(rows.column("least").to_numpy(), shards)))
@@ -208,56 +230,82 @@ def _fetch(shards: int, window: int):
     return fetch
 
 
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each run of the sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def repeated(texts: list[bytes], document: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, offset, windows): the intervals of windows of the segments that start earlier in
+    another segment, or in the same one, by the shard's FM-index."""
+    order = np.lexsort((first, document))
+    distinct: dict[bytes, int] = {}
+    of = np.empty(len(texts), np.int64)
+    source = []
+    for i in order.tolist():
+        of[i] = distinct.setdefault(texts[i], len(distinct))
+        if of[i] == len(source):
+            source.append(i)
+    numbers: dict[bytes, int] = {}
+    parts = [np.array([numbers.setdefault(w, len(numbers) + 2) for w in text.split()], np.int64) for text in distinct]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    words = np.concatenate(parts)
+    del parts, numbers
+    # the distinct segments one after the other, a 1 behind each; the value of a place is its
+    # order in the corpus: by document, then by start
+    begin = np.cumsum(sizes) - sizes
+    text = np.ones(len(words) + len(sizes), np.int64)
+    inside = _within(sizes)
+    at = np.repeat(begin + np.arange(len(sizes)), sizes) + inside
+    text[at] = words
+    place = np.full(len(text), np.iinfo(np.int64).max)
+    place[at] = np.repeat(document[source] << 32 | first[source], sizes) + inside
+    index = FMIndex(text, window, place)
+    del text, place, at, inside
+    earliest = np.full(len(words), np.iinfo(np.int64).max)
+    for _, start, low, _ in index.matching(words, begin, begin + sizes):
+        earliest[start] = index.least[index.group_of(low)]
+    # every segment, copies too, against the earliest places of its words
+    n = sizes[of] - window + 1
+    inside = _within(n)
+    segment = np.repeat(np.arange(len(of)), n)
+    hit = earliest[np.repeat(begin[of], n) + inside] < (document[segment] << 32 | first[segment]) + inside
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return at, at, at
+    new = np.r_[True, (np.diff(at) != 1) | (np.diff(segment[at]) != 0)]
+    return segment[at[new]], inside[at[new]], np.diff(np.append(np.flatnonzero(new), len(at)))
+
+
 def _search(groups: int, window: int):
-    """One shard's FM-index, and its segments streamed through it."""
+    """One shard's segments through its FM-index."""
 
     def search(key, table):
         rows = packing.joined(table.column("packed"))
-        i, own, first = (rows.column(c).to_numpy() for c in ("id", "own", "first"))
-        numbers: dict[bytes, int] = {}
-        parts = [[numbers.setdefault(w, len(numbers) + 2) for w in text.split()] for text in rows.column("text").to_pylist()]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        # segments one after the other, a 1 behind each
-        begin = np.cumsum(sizes + 1) - sizes - 1
-        text = np.ones(int((sizes + 1).sum()), np.int64)
-        text[np.repeat(begin, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.concatenate([np.array(p) for p in parts])
-        index = FMIndex(text, window)
-        # the order of all places in the corpus: by document, then by start
-        segment = np.repeat(np.arange(len(parts)), sizes + 1)
-        start = first[segment] + np.arange(len(text)) - begin[segment]
-        document = np.unique(np.stack([i, own], 1), axis=0, return_inverse=True)[1].ravel()
-        place = np.append(document[segment] * np.int64(1 << 32) + start, _LAST)
-        starts, group = index.prefix_groups(window)
-        earliest = np.minimum.reduceat(place[index.suffixes], starts)
-        hit = np.zeros(len(place), bool)
-        for _, at, low, _ in index.matching(begin, begin + sizes, window):
-            hit[at] = earliest[group[low]] < place[at]
-        at = np.flatnonzero(hit[:-1])
-        new = np.r_[True, np.diff(at) != 1] if len(at) else np.empty(0, bool)
-        run = at[new]
-        length = np.diff(np.append(np.flatnonzero(new), len(at)))
-        of = segment[run]
-        found = _table(id=i[of], own=own[of], first=start[run].astype(np.int32), windows=length.astype(np.int32))
-        out = list(_split(found, _group_of(own[of], groups)))
+        first = rows.column("first").to_numpy().astype(np.int64)
+        segment, offset, windows = repeated(rows.column("text").to_pylist(), _document(rows), first, window)
+        part = rows.select(["id", "null", "own"]).take(pa.array(segment))
+        found = part.append_column("first", pa.array((first[segment] + offset).astype(np.int32))).append_column("windows", pa.array(windows.astype(np.int32)))
+        out = list(_split(found, _group_of(found.column("own").to_numpy(), groups)))
         grp, blob = zip(*out) if out else ((), ())
         return pa.table({"grp": pa.array(grp, pa.int32()), "packed": pa.array(blob, pa.binary())})
 
     return search
 
 
-def _clean(window: int):
+def _clean(window: int, id_type: pa.DataType):
     """The ranges found, applied to the documents of a group."""
 
     def clean(key, docs, found):
-        hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        hits: dict[tuple, list[tuple[int, int]]] = {}
         if len(found):
             rows = packing.joined(found.column("packed"))
-            for i, own, first, windows in zip(*(rows.column(c).to_pylist() for c in ("id", "own", "first", "windows"))):
-                hits.setdefault((i, own), []).append((first, first + windows + window - 1))
+            for k, first, windows in zip(_names(rows), rows.column("first").to_pylist(), rows.column("windows").to_pylist()):
+                hits.setdefault(k, []).append((first, first + windows + window - 1))
         pa.default_memory_pool().release_unused()
         ids, n_words, n_removed, kept = [], [], [], []
-        for i, own, words in _documents(docs):
-            ranges = hits.get((i, own), ())
+        for k, words in _documents(docs):
+            ranges = hits.get(k, ())
             if ranges:
                 mask = np.zeros(len(words) + 1, np.int32)
                 for a, b in ranges:
@@ -266,18 +314,20 @@ def _clean(window: int):
                 left = [w for w, m in zip(words, np.cumsum(mask).tolist()) if not m]
             else:
                 left = words
-            ids.append(None if i == _LAST else i)
+            ids.append(k[0])
             n_words.append(len(words))
             n_removed.append(len(words) - len(left))
             kept.append(b" ".join(left))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array([x.decode("utf-8", "surrogatepass") for x in kept], pa.string()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())})
+        return pa.table({"doc_id": pa.array(ids, id_type), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array([x.decode("utf-8", "surrogatepass") for x in kept], pa.string()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())})
 
     return clean
 
 
 def deduplicate(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, group_bytes: int = 16 << 20) -> DataFrame:
-    """Per document: doc_id (LONG), n_words, n_removed, kept (the words left, one space apart), kept_sha256."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("id"), "text")
+    """Per document: doc_id (LONG, or STRING where ids are no whole numbers), n_words, n_removed,
+    kept (the words left, one space apart), kept_sha256."""
+    rows = docs.select(id_key(docs).alias("id"), F.col("doc_id").isNull().alias("null"), "text")
+    kind = rows.schema["id"].dataType.simpleString()
     groups = packing.groups_for(rows, group_bytes)
     dealt = rows.mapInArrow(_deal(groups, window, anchor), "shard int, packed binary")
     compared = written(dealt.groupBy("shard").applyInArrow(_compare(groups), "kind string, grp int, packed binary"), "segments")
@@ -286,7 +336,7 @@ def deduplicate(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR,
     words = packed.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(_fetch(groups, window), "shard int, packed binary")
     searched = written(words.groupBy("shard").applyInArrow(_search(groups, window), "grp int, packed binary"), "repeats")
     found = compared.where("kind = 'found'").select("grp", "packed").unionByName(searched)
-    return packed.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_clean(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
+    return packed.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_clean(window, pa.int64() if kind == "bigint" else pa.string()), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
 
 
 def _by_identity(rows: DataFrame, groups: int) -> DataFrame:
