@@ -1,15 +1,17 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A character trigram model is counted over all training documents.  A token that looks written
-over (digits or symbols among letters, a letter three times running, single letters in a row)
-becomes a lattice: each character stands for itself, for the letters it is used for, or for
-nothing, and a repeated letter may be one.  Viterbi finds the likeliest letters under channel
-and model; the restored text is scored by a logistic model over words and word beginnings.
+A character trigram model is counted over all training documents.  What looks written over
+(digits or symbols among letters, a letter three times running, three or more characters that
+stand alone in a row) becomes a lattice: a letter stands for itself, a repeated one perhaps once,
+a symbol for the letters it is used for, for nothing, or for the end of a word, and so does the
+space between characters that stand alone.  Viterbi finds the likeliest words under channel and
+model, in time linear in the length, however long the token or the run; the restored text is
+scored by a logistic model over words and word beginnings.
 
 Labels are used only from rows whose crc32(doc_id as text) mod 3 is not 1, and of those at most
 ``fit_rows`` (the least by a hash of the id): they choose the features and fit the logistic
-model.  The driver gathers the character counts (a table of fixed size), ``max_features``
-features, and ``fit_rows`` short lists.  Scoring is one scan without a shuffle.
+model.  The driver gathers the character counts (a table of fixed size), the features that weigh
+enough among those rows, and ``fit_rows`` lists of them.  Scoring is one scan without a shuffle.
 
 Edge cases: null and empty texts have no features and get the score of the intercept; without
 labels every score is one half of nothing learned (the intercept zero); repeated rows get equal
@@ -19,6 +21,7 @@ left out; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -30,14 +33,16 @@ from spindrel.llm.common import crc_of_id, written
 
 #: What characters stand for in written-over words (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "%": "x", "#": "h"}
-#: Costs of the channel, in natural logarithms.
-COST_LEET, COST_DROP, COST_RUN = 1.0, 2.5, 0.7
+#: Costs of the channel, in natural logarithms: of a letter written as a symbol, of a symbol that
+#: is nothing or ends a word, of a run of letters that is one, of a space that is nothing.
+COST_LEET, COST_DROP, COST_RUN, COST_GAP = 1.0, 2.5, 0.7, 0.5
 _LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåçèéêëíìîïñóòôöõúùûüßœæ"
 #: Classes of characters for the model: 0 is what stands outside of words.
 _CLASS = {c: i + 1 for i, c in enumerate(_LETTERS)}
 SIZE = 64
 _ODD = re.compile(r"[^\W\d_][^\s]*[\d@$!|+(€£%#*._-][^\s]*[^\W\d_]|^[\d@$!|+(€£%#][^\W\d_]|[^\W\d_][\d@$!|+€£]|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?:(?<= )|^)(?:\S ){3,63}\S(?= |$)")
+#: So many characters that stand alone in a row are read as one run.
+SPACED = 3
 _EDGES = "\"'.,;:!?()[]{}<>*#$%&|-_/\\~`"
 
 
@@ -69,40 +74,55 @@ def class_counts(texts: list[str | None]) -> np.ndarray:
     return np.bincount(index, minlength=SIZE**3)
 
 
-def restore(token: str, model: Model) -> str:
-    """The likeliest letters of a written-over token."""
-    token = token.lower()
-    runs: list[tuple[str, int]] = []
-    for c in token:
-        if runs and runs[-1][0] == c:
-            runs[-1] = (c, runs[-1][1] + 1)
-        else:
-            runs.append((c, 1))
+def options(c: str, n: int) -> list[tuple[str, float]]:
+    """What a run of ``n`` times the character may be, with its cost; a space ends a word."""
+    if c in _CLASS:
+        found = [(c * min(n, 2), 0.0 if n <= 2 else COST_RUN)]
+        if n > 1:
+            found.append((c, COST_RUN))
+    elif c == " ":
+        found = [(" ", 0.0), ("", COST_GAP)]
+    else:
+        price = COST_DROP if n == 1 else COST_RUN + COST_DROP
+        found = [("", price), (" ", price)]
+    return found + [(x * k, COST_LEET * k if k == n else COST_LEET + COST_RUN) for x in LEET.get(c, "") for k in {1, min(n, 2)}]
+
+
+def decode(text: str, model: Model) -> tuple[float, str]:
+    """(cost, words) of the likeliest reading of what is written over, by Viterbi."""
     cost = model.cost
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for c, n in runs:
-        options: list[tuple[str, float]] = []
-        if c in _CLASS:
-            options.append((c * min(n, 2), 0.0 if n <= 2 else COST_RUN))
-            if n > 1:
-                options.append((c, COST_RUN))
-        else:
-            options.append(("", COST_DROP if n == 1 else COST_RUN + COST_DROP))
-        options += [(x * k, COST_LEET * k if k == n else COST_LEET + COST_RUN) for x in LEET.get(c, "") for k in {1, min(n, 2)}]
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (total, text) in states.items():
-            for written_as, price in options:
+    # a state is the classes of the last two characters; its history a chain of what was read
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for c, run in itertools.groupby(text.lower()):
+        given = options(c, sum(1 for _ in run))
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (total, history) in states.items():
+            for written_as, price in given:
                 x, y, value = a, b, total + price
                 for letter in written_as:
-                    z = _CLASS[letter]
+                    if letter == " " and not y:
+                        continue  # no word to end
+                    z = _CLASS.get(letter, 0)
                     value += cost[x][y][z]
                     x, y = y, z
                 if (x, y) not in after or value < after[(x, y)][0]:
-                    after[(x, y)] = (value, text + written_as)
+                    after[(x, y)] = (value, (history, written_as))
         states = after
-    return min((total + cost[a][b][0], text) for (a, b), (total, text) in states.items())[1]
+    best, history = min(((total + (cost[a][b][0] if b else 0.0), history) for (a, b), (total, history) in states.items()), key=lambda x: x[0])
+    parts = []
+    while history:
+        history, written_as = history
+        parts.append(written_as)
+    return best, "".join(reversed(parts))
+
+
+def restore(text: str, model: Model) -> str:
+    """The likeliest words of what is written over, one space apart."""
+    return " ".join(decode(text, model)[1].split())
 
 
+#: A feature weighs enough if its log odds times the root of its rows are so far from even.
+MIN_WEIGHT = 4.0
 #: Beginnings of words of these sizes are features, besides whole words.
 PREFIXES = (4, 5, 6, 7)
 
@@ -116,9 +136,8 @@ class Restorer:
     def _token(self, token: str) -> tuple[str, ...]:
         plain = token.strip(_EDGES)
         out = [plain] if plain.isalpha() else []
-        # very long tokens are data, not words; they are still read as they stand
-        if len(token) <= 64 and _ODD.search(token):
-            out += {restore(token, self.model), restore(plain, self.model)}
+        if _ODD.search(token):
+            out += [x for given in dict.fromkeys((token, plain)) for x in restore(given, self.model).split()]
         elif not out and plain:
             out = [x for x in re.split(r"[\W\d_]+", plain) if x]
         return tuple(x for x in dict.fromkeys(out) if x)
@@ -135,9 +154,9 @@ class Restorer:
             if (got := self.known.get(token)) is None:
                 got = self.known[token] = self._token(token)
             found.update(got)
-        if sum(map((1).__eq__, map(len, tokens))) >= 4:
-            for match in _SPACED.finditer(" ".join(tokens)):
-                found.add(restore(match[0].replace(" ", ""), self.model))
+        for alone, run in itertools.groupby(tokens, lambda t: len(t) == 1):
+            if alone and len(spaced := list(run)) >= SPACED:
+                found.update(restore(" ".join(spaced), self.model).split())
         found.discard("")
         return found
 
@@ -205,7 +224,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, max_features: int = 2_000, min_rows: int = 3) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, min_weight: float = MIN_WEIGHT, min_rows: int = 3) -> Scorer:
     """The character model of ``docs`` and the logistic model of the labelled training rows."""
     counts = character_counts(docs)
     sent = docs.sparkSession.sparkContext.broadcast(counts)
@@ -227,18 +246,24 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, max_fea
     each = read.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
     odds = F.log((F.col("bad") + 0.5) / (positive + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n - positive + 1.0))
     # What weighs: how far the odds are from even, by how many rows stand behind them.
-    chosen = each.where(F.col("n") >= min_rows).withColumn("weight", F.abs(odds) * F.sqrt("n")).orderBy(F.desc("weight"), "feature").limit(max_features)
-    names = [r["feature"] for r in chosen.select("feature").collect()]
-    place = {f: i for i, f in enumerate(names)}
-    own = F.array_intersect("features", F.lit(names)) if names else F.array().cast("array<string>")
-    sample = read.orderBy("doc_id").select("toxic", own.alias("features")).collect()  # short lists of at most fit_rows documents
-    weights, intercept = fit_logistic([[place[f] for f in r["features"]] for r in sample], np.array([r["toxic"] for r in sample], float), len(names))
+    chosen = each.where((F.col("n") >= min_rows) & (F.abs(odds) * F.sqrt("n") >= min_weight)).orderBy("feature")
+    names = [r["feature"] for r in chosen.select("feature").collect()]  # features of at most fit_rows documents
+    numbers = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def own(batches):
+        place = numbers.value
+        for batch in batches:
+            found = [sorted(place[f] for f in row if f in place) for row in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "features"])
+
+    sample = read.mapInArrow(own, f"doc_id {kind}, toxic int, features array<int>").orderBy("doc_id").collect()  # short lists of at most fit_rows documents
+    weights, intercept = fit_logistic([r["features"] for r in sample], np.array([r["toxic"] for r in sample], float), len(names))
     return Scorer(counts, dict(zip(names, weights.tolist())), intercept)
 
 
-def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, fit_rows: int = 20_000, max_features: int = 2_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, fit_rows: int = 20_000, min_weight: float = MIN_WEIGHT) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold)."""
-    scorer = train(docs, labels, fit_rows=fit_rows, max_features=max_features)
+    scorer = train(docs, labels, fit_rows=fit_rows, min_weight=min_weight)
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
