@@ -7,14 +7,15 @@ even against all of them: its mask leaves them out, and the pair collides in tha
 pair within the radius is lost, whatever the random choice.
 
 Equal fingerprints are collapsed first, so copies cost one row.  A bucket holds the distinct
-fingerprints that agree under a mask; a task compares them in blocks and hands on a spanning
-forest of the links it found, never all pairs.  A bucket over ``max_bucket`` is split exactly:
+fingerprints that agree under a mask; a task gets its buckets one after the other, sorted by the
+JVM (which spills), holds some whole ones at a time, compares them in blocks and hands on a
+spanning forest of the links it found, never all pairs.  A bucket over ``max_bucket`` is split exactly:
 of ``radius + 1`` blocks of bits, two fingerprints within the radius agree in one.
 
 Edge cases: null and empty texts, and texts of white space, have fingerprint zero, linked like
 any other; texts of fewer words than a shingle are one shingle; repeated rows share a
-component; rows with a null id get the component of their fingerprint (null if it has no
-other row with an id); an empty table gives an empty result.
+component; rows with a null id link like any other, and get the smallest id reachable (null if
+there is none); ids may be of any type that has an order; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -132,9 +133,10 @@ def _compare(key: np.ndarray, fp: np.ndarray, rows: np.ndarray, forest: _Forest,
             key, fp, rows = key[more], fp[more], rows[more]
 
 
-def links(distinct: DataFrame, *, radius: int = RADIUS, max_bucket: int = 8192) -> DataFrame:
+def links(distinct: DataFrame, *, radius: int = RADIUS, max_bucket: int = 8192, max_rows: int = 200_000) -> DataFrame:
     """(a, b): links between the ``rep`` of fingerprints within the radius, enough of them to
-    connect whatever is connected.  ``distinct`` has one row (fp, rep) per fingerprint."""
+    connect whatever is connected.  ``distinct`` has one row (fp, rep) per fingerprint; ``rep``
+    is a long of its own.  A task holds ``max_rows`` rows, or one bucket if that is larger."""
     patterns = np.array(masks(radius), np.uint64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,30 +150,41 @@ def links(distinct: DataFrame, *, radius: int = RADIUS, max_bucket: int = 8192)
                 mixed *= np.uint64(0xBF58476D1CE4E5B9)
                 yield pa.RecordBatch.from_arrays([pa.array(mixed.ravel().view(np.int64)), pa.array(np.tile(fp, len(patterns))), pa.array(np.tile(rep, len(patterns)))], names=["bucket", "fp", "rep"])
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "fp", "rep")) for b in batches]
-        if not read:
-            return
-        bucket, fp, rep = (np.concatenate(x) for x in zip(*read))
-        del read
-        order = np.argsort(bucket, kind="stable")
-        bucket, fp, rep = bucket[order], fp[order].view(np.uint64), rep[order]
+    def linked(bucket: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, rows = np.unique(rep, return_inverse=True)
         forest = _Forest(len(ids))
-        _compare(bucket, fp, rows, forest, radius, max_bucket)
+        _compare(bucket, fp.view(np.uint64), rows, forest, radius, max_bucket)
         if forest.edges:
             pairs = ids[np.array(forest.edges)]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "fp", "rep")))
+            rows += len(batch)
+            if rows >= max_rows:
+                bucket, fp, rep = (np.concatenate(x) for x in zip(*held))
+                # the last bucket may go on in the next batch
+                whole = int(np.searchsorted(bucket, bucket[-1], "left"))
+                yield from linked(bucket[:whole], fp[:whole], rep[:whole])
+                held, rows = [(bucket[whole:], fp[whole:], rep[whole:])], len(bucket) - whole
+        if rows:
+            yield from linked(*(np.concatenate(x) for x in zip(*held)))
+
     tables = distinct.select("fp", "rep").mapInArrow(spread, "bucket bigint, fp bigint, rep bigint")
-    return tables.repartition("bucket").mapInArrow(found, "a bigint, b bigint")
+    return tables.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(found, "a bigint, b bigint")
 
 
 def cluster(prints: DataFrame, *, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint; component_id: the smallest doc_id."""
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
-    found = components(links(distinct.where("rep is not null"), radius=radius))
-    return distinct.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    """(fp, component, component_id) of every distinct fingerprint; component: its smallest
+    fingerprint (as a signed long); component_id: its smallest doc_id, null if none has one."""
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    found = components(links(distinct.select("fp", F.col("fp").alias("rep")), radius=radius))
+    grouped = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    ids = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    return grouped.join(ids, "component").select("fp", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -182,13 +195,17 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS
 
 
 def keep_one(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The documents, one of each component: the row of the smallest doc_id.
+    """The documents, one of each component: a row of the smallest doc_id (null last), of several
+    that of the smallest fingerprint.
 
-    Of repeated rows with that doc_id one stays.  Texts without words (null, empty, white
-    space) hold nothing and all share fingerprint zero: one of them stays like of any other.
+    Texts without words (null, empty, white space) hold nothing and all share fingerprint zero:
+    one of them stays like of any other.
     """
     safe = docs.toDF(*[c if c in ("doc_id", "text") else f"given {c}" for c in docs.columns])
     marked = written(fingerprints(safe, words=words, keep=safe.columns), "simhash-docs")
     of = cluster(marked.select("doc_id", "fp"), radius=radius)
-    first = marked.join(of, "fp").where("doc_id <=> component_id").dropDuplicates(["doc_id", "fp"])
+    # Of the fingerprints whose smallest id is that of the component, the smallest one stays.
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of, "fp").where("least <=> component_id")
+    stays = least.groupBy("component").agg(F.min("fp").alias("fp"), F.first("component_id").alias("component_id")).select("fp", "component_id")
+    first = marked.join(stays, "fp").where("doc_id <=> component_id").dropDuplicates(["fp"])
     return first.select(*[F.col(f"`{new}`").alias(c) for c, new in zip(docs.columns, safe.columns)])
