@@ -13,7 +13,7 @@ joined per document.  Documents are never shuffled when one block is enough.
 Edge cases: null or empty texts have no words and are not contaminated; items without words,
 and null items, have no window; rows with the same item id count as one item, and a null item
 id counts as an empty one; repeated documents give repeated rows (with several blocks they are
-joined by a row key that counts them apart); extra columns are ignored by :func:`scan` and kept
+joined by 256 bits of hash of the whole row, which count them apart); extra columns are ignored by :func:`scan` and kept
 by :func:`remove`.
 """
 
@@ -122,7 +122,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_byt
     if blocks == 1:
         return _scan_block(given, _collected(items), window, kept, True)
     # Larger than the bound: block after block, and the hits meet per document.
-    keyed = given.withColumn("row_key", F.xxhash64(*[F.col(f"`{c}`") for c in given.columns]))
+    keyed = given.withColumn("row_key", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in given.columns]), {"ignoreNullFields": "false"}), 256))
     n = shuffle_partitions(spark)
     parts = []
     for block in range(blocks):

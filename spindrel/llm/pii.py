@@ -11,10 +11,17 @@ numbers get their check digit anew; dates are permuted as days of one 400-year c
 E-mail addresses have no fixed format to permute within; their local part becomes ``u`` and 12
 hex digits of a keyed hash.
 
+Phone numbers are taken by their format alone, since unassigned area codes are written down as
+often as others; the areas 900 to 999 of social security numbers are those of taxpayer numbers,
+which are as personal.
+
+The key is the caller's secret: whoever has it can undo the pseudonyms.  It stands in the query's
+plan, so keep plans and event logs of these jobs as safe as the key.
+
 There is no shuffle and no state: each row is rewritten alone.  Edge cases: null text stays
 null with no findings; empty and very long texts are read whole; numbers that fail validation
-stay; repeated rows and ties are rewritten alike; other columns stay as they are, and columns
-named like the counts are replaced.
+stay; repeated rows and ties are rewritten alike; other columns stay as they are whatever their
+names, and columns named like the counts are replaced.
 """
 
 from __future__ import annotations
@@ -110,14 +117,19 @@ def _pseudonym(found: str, kind: str, key: str) -> str:
     return f"case {kind} when 'email' then {email} when 'date' then {dated} when 'ip' then {ip} when 'phone' then {phone} when 'ssn' then {ssn} when 'card' then {refilled} else {found} end"
 
 
-def pseudonymise(docs: DataFrame, *, key: str = "spindrel", column: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, *, key: str, column: str = "text") -> DataFrame:
     """``docs`` with the column rewritten and n_email, n_date, n_ip, n_phone, n_ssn, n_card."""
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     text = f"`{column}`"
+    taken, spare = {c.lower() for c in docs.columns}, "p"
+    while taken & {f"{spare}_{c}" for c in ("found", "kinds", "new")}:
+        spare += "_"
     counts = [f"n_{k}" for k in PATTERNS]
     # Texts without a digit or an at sign have nothing to find.
-    found = docs.withColumn("p_found", F.expr(f"if({text} rlike '[0-9@]', regexp_extract_all({text}, {_sql(_ANY)}, 0), cast(array() as array<string>))"))
-    found = found.withColumn("p_kinds", F.expr(f"transform(p_found, x -> {_kind('x')})"))
-    found = found.withColumn("p_new", F.expr(f"transform(arrays_zip(p_found, p_kinds), y -> {_pseudonym('y.p_found', 'y.p_kinds', key)})"))
-    new = F.expr(f"if(size(filter(p_kinds, k -> k is not null)) > 0, array_join(zip_with(split({text}, {_sql(_ANY)}, -1), p_new, (a, b) -> concat(a, coalesce(b, ''))), ''), {text})")
-    found = found.withColumns({column: new, **{c: F.expr(f"cast(coalesce(size(filter(p_kinds, k -> k <=> '{c[2:]}')), 0) as bigint)") for c in counts}})
-    return found.drop("p_found", "p_kinds", "p_new")
+    found = docs.withColumn(f"{spare}_found", F.expr(f"if({text} rlike '[0-9@]', regexp_extract_all({text}, {_sql(_ANY)}, 0), cast(array() as array<string>))"))
+    found = found.withColumn(f"{spare}_kinds", F.expr(f"transform({spare}_found, x -> {_kind('x')})"))
+    found = found.withColumn(f"{spare}_new", F.expr(f"transform(arrays_zip({spare}_found, {spare}_kinds), y -> {_pseudonym(f'y.{spare}_found', f'y.{spare}_kinds', key)})"))
+    new = F.expr(f"if(size(filter({spare}_kinds, k -> k is not null)) > 0, array_join(zip_with(split({text}, {_sql(_ANY)}, -1), {spare}_new, (a, b) -> concat(a, coalesce(b, ''))), ''), {text})")
+    found = found.withColumns({column: new, **{c: F.expr(f"cast(coalesce(size(filter({spare}_kinds, k -> k <=> '{c[2:]}')), 0) as bigint)") for c in counts}})
+    return found.drop(f"{spare}_found", f"{spare}_kinds", f"{spare}_new")

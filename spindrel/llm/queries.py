@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import string
 from collections.abc import Callable
 
@@ -38,8 +39,13 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+#: Where the cluster sets no ``spindrel.pii.key``, pseudonyms hold for this process alone.
+_KEY = secrets.token_hex(32)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get("spindrel.pii.key", _KEY)
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=key)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
