@@ -71,26 +71,30 @@ class FMIndex:
     """
 
     def __init__(self, text: np.ndarray, depth: int, values: np.ndarray | None = None, sample: int = 0):
-        text = np.append(text.astype(np.int64), 0)
+        text = np.append(text, 0).astype(np.int32)
         n = self.size = len(text)
         self.depth = depth
         rank, have = text, 1
         while True:
-            key = rank * (n + int(rank.max()) + 2)
-            key[:-have] += rank[have:] + 1
-            order = np.argsort(key)
-            ordered = key[order]
-            new = np.r_[True, ordered[1:] != ordered[:-1]]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) - 1
+            key = rank.astype(np.int64)
+            key *= n + int(rank.max()) + 2
+            key[:-have] += rank[have:]
+            key[:-have] += 1
+            order = np.argsort(key).astype(np.int32)
+            key = key[order]
+            new = np.r_[True, key[1:] != key[:-1]]
+            del key
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(new, dtype=np.int32) - 1
             have *= 2
             if (have >= depth + 1 and not sample) or new.all():
                 break
+        del rank
         self.bits = max(1, int(text.max()).bit_length())
         self.wavelet = WaveletMatrix(text[order - 1], self.bits)
-        symbols = np.arange(int(text.max()) + 1)
-        self.first = np.searchsorted(np.sort(text), symbols)
-        self.runs = self.wavelet.rank(symbols, np.zeros(len(symbols), np.int64))
+        counts = np.bincount(text)
+        self.first = np.cumsum(counts) - counts
+        self.runs = self.wavelet.rank(np.arange(len(counts)), np.zeros(len(counts), np.int64))
         # rows whose suffixes share ``depth`` symbols; one that ends before is a group of its own
         whole = order + depth <= n
         same = whole[1:] & whole[:-1]

@@ -40,6 +40,8 @@ from spindrel.llm.fmindex import FMIndex
 WINDOW, ANCHOR = 20, 8
 #: Segments are cut after so many windows, so that a text that repeats itself has no endless one.
 MAX_RUN = 64
+#: Windows that are judged at once.
+_WINDOWS = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -247,14 +249,14 @@ def repeated(texts: list[bytes], document: np.ndarray, first: np.ndarray, window
         if of[i] == len(source):
             source.append(i)
     numbers: dict[bytes, int] = {}
-    parts = [np.array([numbers.setdefault(w, len(numbers) + 2) for w in text.split()], np.int64) for text in distinct]
+    parts = [np.array([numbers.setdefault(w, len(numbers) + 2) for w in text.split()], np.int32) for text in distinct]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     words = np.concatenate(parts)
-    del parts, numbers
+    del parts, numbers, distinct
     # the distinct segments one after the other, a 1 behind each; the value of a place is its
     # order in the corpus: by document, then by start
     begin = np.cumsum(sizes) - sizes
-    text = np.ones(len(words) + len(sizes), np.int64)
+    text = np.ones(len(words) + len(sizes), np.int32)
     inside = _within(sizes)
     at = np.repeat(begin + np.arange(len(sizes)), sizes) + inside
     text[at] = words
@@ -267,14 +269,19 @@ def repeated(texts: list[bytes], document: np.ndarray, first: np.ndarray, window
         earliest[start] = index.least[index.group_of(low)]
     # every segment, copies too, against the earliest places of its words
     n = sizes[of] - window + 1
-    inside = _within(n)
-    segment = np.repeat(np.arange(len(of)), n)
-    hit = earliest[np.repeat(begin[of], n) + inside] < (document[segment] << 32 | first[segment]) + inside
-    at = np.flatnonzero(hit)
-    if not len(at):
-        return at, at, at
-    new = np.r_[True, (np.diff(at) != 1) | (np.diff(segment[at]) != 0)]
-    return segment[at[new]], inside[at[new]], np.diff(np.append(np.flatnonzero(new), len(at)))
+    out = []
+    cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(n) // _WINDOWS)) + 1, len(n)]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        inside = _within(n[a:b])
+        segment = np.repeat(np.arange(a, b), n[a:b])
+        hit = earliest[begin[of[segment]] + inside] < (document[segment] << 32 | first[segment]) + inside
+        at = np.flatnonzero(hit)
+        if len(at):
+            new = np.r_[True, (np.diff(at) != 1) | (np.diff(segment[at]) != 0)]
+            out.append((segment[at[new]], inside[at[new]], np.diff(np.append(np.flatnonzero(new), len(at)))))
+    if not out:
+        return (np.empty(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _search(groups: int, window: int):
@@ -283,7 +290,10 @@ def _search(groups: int, window: int):
     def search(key, table):
         rows = packing.joined(table.column("packed"))
         first = rows.column("first").to_numpy().astype(np.int64)
-        segment, offset, windows = repeated(rows.column("text").to_pylist(), _document(rows), first, window)
+        document, texts = _document(rows), rows.column("text").to_pylist()
+        rows = rows.select(["id", "null", "own"])
+        pa.default_memory_pool().release_unused()
+        segment, offset, windows = repeated(texts, document, first, window)
         part = rows.select(["id", "null", "own"]).take(pa.array(segment))
         found = part.append_column("first", pa.array((first[segment] + offset).astype(np.int32))).append_column("windows", pa.array(windows.astype(np.int32)))
         out = list(_split(found, _group_of(found.column("own").to_numpy(), groups)))
@@ -323,7 +333,7 @@ def _clean(window: int, id_type: pa.DataType):
     return clean
 
 
-def deduplicate(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, group_bytes: int = 16 << 20) -> DataFrame:
+def deduplicate(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, group_bytes: int = 8 << 20) -> DataFrame:
     """Per document: doc_id (LONG, or STRING where ids are no whole numbers), n_words, n_removed,
     kept (the words left, one space apart), kept_sha256."""
     rows = docs.select(id_key(docs).alias("id"), F.col("doc_id").isNull().alias("null"), "text")
