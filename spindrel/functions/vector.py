@@ -56,9 +56,13 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {"cosine": cosine, "l2"
 
 
 def register(spark: SparkSession) -> None:
-    """cos_sim, l2_dist and exp_neg_fast as SQL functions, inlined by the optimizer."""
+    """cos_sim, l2_dist and exp_neg_fast as SQL functions, inlined by the optimizer; they agree
+    with :func:`cosine`, :func:`l2` and ``memory_kernel.exp_neg``."""
     pair = "aggregate(zip_with(a, b, (x, y) -> {}), 0D, (s, x) -> s + x)"
     own = lambda v: f"sqrt(aggregate({v}, 0D, (s, x) -> s + x * x))"
-    spark.sql(f"create or replace temporary function cos_sim(a array<double>, b array<double>) returns double return coalesce(try_divide({pair.format('x * y')}, {own('a')} * {own('b')}), 0D)")
-    spark.sql(f"create or replace temporary function l2_dist(a array<double>, b array<double>) returns double return sqrt({pair.format('(x - y) * (x - y)')})")
-    spark.sql("create or replace temporary function exp_neg_fast(x double) returns double return exp(-least(greatest(x, 0D), 88D))")
+    odd = lambda v: f"exists({v}, x -> x is null or isnan(x) or abs(x) = double('Infinity'))"
+    cos = f"coalesce(try_divide({pair.format('x * y')}, {own('a')} * {own('b')}), 0D)"
+    spark.sql(f"create or replace temporary function cos_sim(a array<double>, b array<double>) returns double return case when size(a) = size(b) and not {odd('a')} and not {odd('b')} then {cos} end")
+    spark.sql(f"create or replace temporary function l2_dist(a array<double>, b array<double>) returns double return case when size(a) = size(b) then sqrt({pair.format('(x - y) * (x - y)')}) end")
+    u = "(least(greatest(x, 0D), 88D) / 64D)"
+    spark.sql(f"create or replace temporary function exp_neg_fast(x double) returns double return 1D / power(1D + {u} * (1D + {u} * (0.5D + {u} * (0.16666667D + {u} * 0.04166667D))), 64D)")

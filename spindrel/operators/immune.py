@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrel.operators.retrieval import nearest
+from spindrel.operators.retrieval import with_nearest
 
 DAY_MS = 86_400_000
 #: What each severity multiplies the boost by (fixed values).
@@ -24,9 +26,21 @@ def detect(calls: DataFrame, patterns: DataFrame, *, threshold: float = 0.7, win
     (of anomalies after warm-up, the share within one deviation of the mean).  ``stream`` names
     columns of which each value is a detector of its own; without it all calls are one
     sequence and one partition.
+
+    Calls count one by one, whatever their ids.  Without patterns every call is an anomaly of
+    score 1, infinitely far from pattern -1, and leaves no baseline.  A call of another dimension
+    than the patterns fails the query.
     """
-    near = nearest(calls.select("id", "vector"), patterns)
-    base = calls.drop("vector").join(near, "id").withColumnRenamed("distance", "min_distance").withColumnRenamed("pattern_idx", "closest_pattern_idx")
+    sizes = [r[0] for r in patterns.select(F.size("vector")).distinct().limit(2).collect()]
+    if len(sizes) > 1:
+        raise ValueError("patterns of several dimensions")
+    if not sizes:
+        order = (Window.partitionBy(*stream) if stream else Window.partitionBy(F.lit(0))).orderBy("seq")
+        none = F.lit(None).cast("double")
+        return calls.drop("vector").withColumns({"closest_pattern_idx": F.lit(-1), "min_distance": F.lit(float("inf")), "call": F.row_number().over(order), "baseline_mean": none, "baseline_std": none, "score": F.lit(1.0), "is_anomaly": F.lit(True), "fpr": F.lit(0.0)})
+    near = with_nearest(calls, patterns).drop("vector").withColumnRenamed("pattern_idx", "closest_pattern_idx")
+    mismatch = F.raise_error(F.lit(f"dimension mismatch: patterns have {sizes[0]}")).cast("double")
+    base = near.withColumn("min_distance", F.coalesce("distance", mismatch)).drop("distance")
     order = (Window.partitionBy(*stream) if stream else Window.partitionBy(F.lit(0))).orderBy("seq")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     last = order.rowsBetween(1 - window, 0)
@@ -44,12 +58,12 @@ def classify(data: DataFrame, own: DataFrame, *, radius: float = 0.3, min_patter
     own; else NonSelf, surer by a fifth of the gap if a detector is within it too."""
     if own.count() < min_patterns:
         return data.select("id", F.lit("NonSelf").alias("label"), F.lit(0.5).alias("confidence"))
-    near = data.select("id").join(nearest(data, own).select("id", "distance"), "id", "left").withColumn("distance", F.coalesce("distance", F.lit(float("inf"))))
+    near = with_nearest(data.select("id", "vector"), own).select("id", "vector", F.coalesce("distance", F.lit(float("inf"))).alias("to_own"))
     if detectors is not None:
-        close = nearest(data, detectors).where(F.col("distance") <= radius).select("id", F.lit(True).alias("hit"))
-        near = near.join(close, "id", "left")
+        near = with_nearest(near, detectors).withColumn("hit", F.col("distance") <= radius)
     else:
         near = near.withColumn("hit", F.lit(None).cast("boolean"))
+    near = near.withColumn("distance", F.col("to_own"))
     excess = F.col("distance") - radius
     far = F.when(F.col("distance") == float("inf"), 1.0).otherwise(excess / (1 + excess))
     surer = F.when(F.col("hit"), far + (1 - far) * 0.2).otherwise(far)
@@ -87,27 +101,49 @@ def generate_detectors(own: DataFrame, count: int, dimension: int, *, radius: fl
     draw = _Shift(seed)
     rows = [(i, [draw.signed() for _ in range(dimension)]) for i in range(max(count * 10, count))]
     candidates = own.sparkSession.createDataFrame(rows, "id bigint, vector array<double>")
-    near = candidates.join(nearest(candidates, own).select("id", "distance"), "id", "left")
+    near = with_nearest(candidates, own)
     kept = near.where(F.col("distance").isNull() | (F.col("distance") > radius)).orderBy("id").limit(count)
     return kept.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")) - 1).cast("int").alias("pattern_idx"), "vector")
 
 
-def mutations(data: DataFrame, *, n: int = 5, rate: float = 0.05, seed: int = 42) -> DataFrame:
-    """(id, variant_no, variant, score): Gaussian variants of each vector, scored by their L1 norm.
+def _normals(state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One normal number of each generator, and the generators after it."""
+    drawn = []
+    for _ in range(2):
+        state = state ^ (state << np.uint64(13))
+        state = state ^ (state >> np.uint64(7))
+        state = state ^ (state << np.uint64(17))
+        drawn.append(state.astype(float) / float((1 << 64) - 1))
+    return np.sqrt(-2 * np.log(np.maximum(drawn[0], 1e-10))) * np.cos(2 * np.pi * drawn[1]), state
+
+
+def mutations(data: DataFrame, *, n: int = 5, rate: float = 0.05, seed: int = 42, fitness: Callable[[np.ndarray], float] | None = None) -> DataFrame:
+    """(id, variant_no, variant, score): Gaussian variants of each vector, scored by ``fitness``
+    of a variant (its L1 norm if none is given).
 
     Each vector has its own sequence, started by the seed and its id.
     """
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for i, v in zip(batch.column("id").to_pylist(), batch.column("vector").to_pylist()):
-                draw = _Shift((seed + (i or 0) * 0x9E3779B97F4A7C15) % (1 << 64) or 1)
-                for k in range(n):
-                    variant = [x + draw.normal() * rate for x in v or ()]
-                    rows.append((i, k, variant, sum(map(abs, variant))))
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.float64()))], names=["id", "variant_no", "variant", "score"])
+            ids = pc.fill_null(batch.column("id"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            vectors = batch.column("vector")
+            sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), float)
+            first = np.cumsum(sizes) - sizes
+            out = np.repeat(values.reshape(1, -1), n, axis=0)
+            state = np.uint64(seed) + ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            state[state == 0] = 1
+            # all rows draw at once: one step for each element of each variant
+            for k in range(n):
+                for j in range(int(sizes.max(initial=0))):
+                    live = np.flatnonzero(sizes > j)
+                    drawn, state[live] = _normals(state[live])
+                    out[k, first[live] + j] += drawn * rate
+            order = np.repeat(np.arange(len(ids)), n)
+            variants = [out[k, first[i] : first[i] + sizes[i]] for i, k in zip(order.tolist(), np.tile(np.arange(n), len(ids)).tolist())]
+            scores = [float(np.abs(v).sum()) if fitness is None else float(fitness(v)) for v in variants]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(order)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(ids))), pa.array(variants, pa.list_(pa.float64())), pa.array(scores, pa.float64())], names=["id", "variant_no", "variant", "score"])
 
     return data.select("id", "vector").mapInArrow(run, "id bigint, variant_no int, variant array<double>, score double")
 
@@ -136,8 +172,8 @@ def match_antigens(data: DataFrame, antigens: DataFrame, *, threshold: float, no
     """(id, antigen_id, distance): the nearest antigen (id, pattern, first_seen_ms) that has not
     expired and is nearer than the threshold; nulls where there is none."""
     alive = antigens.where(~expired(F.col("first_seen_ms"), now, days)).select(F.col("id").alias("pattern_idx"), F.col("pattern").alias("vector"))
-    near = nearest(data, alive).where(F.col("distance") < threshold)
-    return data.select("id").join(near, "id", "left").select("id", F.col("pattern_idx").alias("antigen_id"), "distance")
+    near = F.col("distance") < threshold
+    return with_nearest(data.select("id", "vector"), alive).select("id", F.when(near, F.col("pattern_idx")).alias("antigen_id"), F.when(near, F.col("distance")).alias("distance"))
 
 
 def evict(antigens: DataFrame, capacity: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrel.functions import vector as V
@@ -33,6 +33,18 @@ def check_query(query: list[float], top_k: int, dimension: int | None = None) ->
     return "dimension mismatch" if dimension and len(query) != dimension else None
 
 
+def refusal(vector: Column, top_k: Column | int, dimension: int | None = None) -> Column:
+    """Why a request is refused, or null: the rules of :func:`check_query` as an expression."""
+    k = F.lit(top_k) if isinstance(top_k, int) else top_k
+    why = F.when(F.coalesce(F.size(vector), F.lit(0)) <= 0, "empty query vector").when(k <= 0, "top_k must be positive").when(~V.finite(vector), "query vector is not finite")
+    return why.when(F.size(vector) != dimension, "dimension mismatch") if dimension else why
+
+
+def refused(queries: DataFrame, k: int, dimension: int | None = None) -> DataFrame:
+    """(request_id, error) of the requests that :func:`batch_top_k` has no answer for."""
+    return queries.select("request_id", refusal(F.col("vector"), k, dimension).alias("error")).where("error is not null")
+
+
 def score(data: DataFrame, query: list[float], *, weight: float = 1.0, threshold: float = 0.1) -> DataFrame:
     """(id, score, cosine_score) of vectors with a score of the threshold or more."""
     given = F.array(*[F.lit(float(x)) for x in query])
@@ -106,7 +118,8 @@ def _block(data: DataFrame, queries: DataFrame, threshold: float, k: int | None)
 
 
 def batch_top_k(data: DataFrame, queries: DataFrame, k: int, *, threshold: float = 0.1) -> DataFrame:
-    """(request_id, rank, id, score): the best k of each request by score, then id."""
+    """(request_id, rank, id, score): the best k of each request by score, then id; requests that
+    :func:`refused` names have none."""
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), "id")
     ranked = batch_scores(data, queries, threshold=threshold, k=k).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("request_id", "rank", "id", "score")
@@ -145,12 +158,48 @@ def all_pairs(data: DataFrame, *, threshold: float, block: int = 4096) -> DataFr
     return meets.groupBy("i", "j").applyInArrow(compare, "a bigint, b bigint, score double")
 
 
-def nearest(data: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(id, pattern_idx, distance): the nearest pattern of the same dimension, the lowest index
-    on ties.  ``patterns`` (pattern_idx, vector) is a small set; it is checked and sent along."""
+def with_nearest(data: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``data`` with pattern_idx and distance: the nearest pattern (pattern_idx, vector) of its
+    dimension, the lowest index on ties; nulls where no pattern has its dimension.
+
+    Rows count one by one, whatever their ids, and are not shuffled.  Patterns are sent along up
+    to ``MAX_QUERY_BYTES``, more of them block after block.
+    """
     size = patterns.agg(F.sum(F.size("vector") * 8 + 16)).first()[0] or 0
-    if size > MAX_QUERY_BYTES:
-        raise ValueError("too many patterns to send along")
-    small = F.broadcast(patterns.select("pattern_idx", F.col("vector").alias("pattern")))
-    each = data.join(small, F.size("vector") == F.size("pattern")).select("id", F.struct(V.l2(F.col("vector"), F.col("pattern")).alias("distance"), "pattern_idx").alias("d"))
-    return each.groupBy("id").agg(F.min("d").alias("d")).select("id", "d.pattern_idx", "d.distance")
+    blocks = max(1, -(-int(size) // MAX_QUERY_BYTES))
+    index = patterns.schema["pattern_idx"].dataType
+    out = data.withColumns({"pattern_idx": F.lit(None).cast(index), "distance": F.lit(None).cast("double")})
+    for block in range(blocks):
+        out = _nearer(out, patterns if blocks == 1 else patterns.where(F.pmod(F.xxhash64("pattern_idx"), F.lit(blocks)) == block))
+    return out
+
+
+def _nearer(data: DataFrame, patterns: DataFrame) -> DataFrame:
+    rows = patterns.where(F.size("vector") > 0).select("pattern_idx", "vector").orderBy("pattern_idx").collect()  # under MAX_QUERY_BYTES
+    by_size = {n: (np.array([r["pattern_idx"] for r in rows if len(r["vector"]) == n], np.int64), np.array([r["vector"] for r in rows if len(r["vector"]) == n], float)) for n in {len(r["vector"]) for r in rows}}
+    sent = data.sparkSession.sparkContext.broadcast(by_size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            best = pc.fill_null(batch.column("distance"), np.inf).to_numpy(zero_copy_only=False).copy()
+            at = pc.fill_null(batch.column("pattern_idx"), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for size, (indexes, known) in sent.value.items():
+                m, of = _matrix(batch.column("vector"), size)
+                step = max(1, (8 << 20) // known.size)
+                for i in range(0, len(m), step):
+                    far = np.sqrt(((m[i : i + step, None, :] - known) ** 2).sum(2))
+                    least, row = far.argmin(1), of[i : i + step]
+                    d, j = far[np.arange(len(far)), least], indexes[least]
+                    nearer = (at[row] < 0) | (d < best[row]) | ((d == best[row]) & (j < at[row]))
+                    best[row[nearer]], at[row[nearer]] = d[nearer], j[nearer]
+            none = at < 0
+            new = {"pattern_idx": pa.array(at, mask=none).cast(batch.schema.field("pattern_idx").type), "distance": pa.array(best, mask=none)}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
+
+    return data.mapInArrow(run, data.schema)
+
+
+def nearest(data: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(id, pattern_idx, distance) of each row that has a pattern of its dimension."""
+    return with_nearest(data.select("id", "vector"), patterns).where("pattern_idx is not null").select("id", "pattern_idx", "distance")

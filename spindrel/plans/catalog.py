@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spindrel.functions import vector as V
 from spindrel.functions.time import millis
-from spindrel.operators import action, colony, graph, histogram, immune, lifecycle, memory_kernel, pheromone, regulation, retrieval
+from spindrel.operators import action, cache, cluster, colony, graph, histogram, immune, lifecycle, memory_kernel, pheromone, regulation, retrieval
 from spindrel.plans import fixtures as X
 from spindrel.plans import pipeline
 from spindrel.plans.fixtures import with_ctes
@@ -45,7 +45,7 @@ def vec_topk(spark, d):
     return retrieval.top_k(X.vectors(spark, d), X.query(spark, d), 10).select("id", r6("score", "score"))
 
 
-_SCORED = "SELECT a.id AS request_id, b.id AS id, list_cosine_similarity(a.v, b.v) AS s FROM emb a, emb b WHERE a.id < 20 AND list_cosine_similarity(a.v, b.v) >= 0.1"
+_SCORED = "SELECT a.id AS request_id, b.id AS id, list_cosine_similarity(a.v, b.v) AS s FROM emb a, emb b WHERE a.id % 50 = 0 AND list_cosine_similarity(a.v, b.v) >= 0.1"
 _RANKED = f"SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, id) AS rank FROM ({_SCORED})"
 
 
@@ -75,11 +75,11 @@ def vec_normalize(spark, d):
     return unit.select("id", r6(F.col("u")[0], "x0"), r6(F.col("u")[63], "x63"))
 
 
-@query(with_ctes("emb") + "SELECT a.id AS a, b.id AS b, round(list_distance(a.v, b.v), 6) AS distance FROM emb a JOIN emb b ON a.id < 5 AND b.id >= 20")
+@query(with_ctes("emb") + "SELECT a.id AS a, b.id AS b, round(list_distance(a.v, b.v), 6) AS distance FROM emb a JOIN emb b ON a.id % 50 = 0")
 def vec_l2_pairs(spark, d):
     v = X.vectors(spark, d)
-    few = v.where("id < 5").select(F.col("id").alias("a"), F.col("vector").alias("va"))
-    return v.where("id >= 20").select(F.col("id").alias("b"), "vector").join(F.broadcast(few)).select("a", "b", r6(V.l2(F.col("va"), F.col("vector")), "distance"))
+    asked = v.where(X.ASKS).select(F.col("id").alias("a"), F.col("vector").alias("va"))
+    return v.select(F.col("id").alias("b"), "vector").join(asked, F.size("vector") == F.size("va")).select("a", "b", r6(V.l2(F.col("va"), F.col("vector")), "distance"))
 
 
 @query("SELECT vec_id AS id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))), 6) AS l1 FROM embeddings")
@@ -91,8 +91,15 @@ def vec_l1(spark, d):
 def query_validation(spark, d):
     kind = F.col("id") % 4
     given = X.vectors(spark, d).select("id", F.when(kind == 0, F.array().cast("array<double>")).when(kind == 2, F.transform("vector", lambda x: F.lit(float("nan")))).otherwise(F.col("vector")).alias("vector"), F.when(kind == 1, 0).otherwise(10).alias("top_k"))
-    why = F.when(F.size("vector") == 0, "empty query vector").when(F.col("top_k") <= 0, "top_k must be positive").when(~V.finite(F.col("vector")), "query vector is not finite")
-    return given.select("id", why.alias("error"))
+    return given.select("id", retrieval.refusal(F.col("vector"), F.col("top_k")).alias("error"))
+
+
+@query("SELECT vec_id AS request_id, CASE WHEN vec_id % 100 = 0 THEN 'empty query vector' ELSE 'query vector is not finite' END AS error FROM embeddings WHERE vec_id % 50 = 0 AND (vec_id % 100 = 0 OR vec_id % 150 <> 50)")
+def query_refusals(spark, d):
+    """Of the batch every second request is empty, and but for some the others hold a NaN."""
+    of = F.col("request_id")
+    bad = F.when(of % 100 == 0, F.array().cast("array<double>")).when(of % 150 == 50, F.col("vector")).otherwise(F.transform("vector", lambda x: F.lit(float("nan"))))
+    return retrieval.refused(X.requests(spark, d).withColumn("vector", bad), 10)
 
 
 @query(with_ctes("emb") + f"SELECT request_id, count(*) AS hits, CASE WHEN bool_or(s < 0.3) THEN 'alert' WHEN bool_or(s > 0.8) THEN 'risk_eval' ELSE 'classify' END AS intent, CAST(least(greatest(round(avg(s) * 10), 1), 10) AS INTEGER) AS priority FROM ({_RANKED}) WHERE rank <= 10 GROUP BY request_id")
@@ -101,19 +108,19 @@ def query_intent(spark, d):
     return top.groupBy("request_id").agg(F.count(F.lit(1)).alias("hits"), action.intent().alias("intent"), action.priority(F.avg("score")).alias("priority"))
 
 
-_CACHE = "SELECT b.id, a.id AS cached, list_cosine_similarity(a.v, b.v) AS s FROM emb a JOIN emb b ON a.id < 20 AND b.id >= 20 WHERE list_cosine_similarity(a.v, b.v) >= 0.3"
+_CACHE = "SELECT b.id, a.id AS cached, list_cosine_similarity(a.v, b.v) AS s FROM emb a JOIN emb b ON a.id % 50 = 0 AND b.id % 50 <> 0 WHERE list_cosine_similarity(a.v, b.v) >= 0.3"
 
 
 @query(with_ctes("emb") + f"SELECT id, cached, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, cached) AS n FROM ({_CACHE})) WHERE n = 1")
 def cache_similar_lookup(spark, d):
-    hits = retrieval.batch_scores(X.vectors(spark, d).where("id >= 20"), X.requests(spark, d), threshold=0.3)
+    hits = retrieval.batch_scores(X.vectors(spark, d).where("id % 50 <> 0"), X.requests(spark, d), threshold=0.3)
     best = hits.groupBy("id").agg(F.max(F.struct("score", (-F.col("request_id")).alias("c"))).alias("m"))
     return best.select("id", (-F.col("m.c")).alias("cached"), r6("m.score", "similarity"))
 
 
-@query(with_ctes("emb") + f"SELECT count(*) AS lookups, count(h.id) AS hits, round(count(h.id) / CAST(count(*) AS DOUBLE), 6) AS hit_rate FROM emb e LEFT JOIN (SELECT DISTINCT id FROM ({_CACHE})) h ON h.id = e.id WHERE e.id >= 20")
+@query(with_ctes("emb") + f"SELECT count(*) AS lookups, count(h.id) AS hits, round(count(h.id) / CAST(count(*) AS DOUBLE), 6) AS hit_rate FROM emb e LEFT JOIN (SELECT DISTINCT id FROM ({_CACHE})) h ON h.id = e.id WHERE e.id % 50 <> 0")
 def cache_hit_rate(spark, d):
-    asked = X.vectors(spark, d).where("id >= 20")
+    asked = X.vectors(spark, d).where("id % 50 <> 0")
     hits = retrieval.batch_scores(asked, X.requests(spark, d), threshold=0.3).select("id", F.lit(1).alias("hit")).distinct()
     both = asked.select("id").join(hits, "id", "left")
     return both.agg(F.count(F.lit(1)).alias("lookups"), F.count("hit").alias("hits"), r6(regulation.rate(F.count("hit"), F.count(F.lit(1))), "hit_rate"))
@@ -219,10 +226,26 @@ def graph_bfs_uncapped(spark, d):
     return graph.expand(X.knn(spark, d), spark.createDataFrame([(7,), (11,)], "node bigint"), 2)
 
 
-@query()
+_MET = "min(struct_pack(fv := v.visit, ap := k.dst, src := v.{node}, w := k.weight)) AS m"
+_NEXT_VISIT = "row_number() OVER (PARTITION BY request_id ORDER BY m.fv, m.ap) AS visit"
+_CAPPED = f"""
+, s AS (SELECT id AS request_id, unnest([id, id + 40, id + 80]) AS node FROM emb WHERE id % 50 = 0),
+v0 AS (SELECT request_id, node, row_number() OVER (PARTITION BY request_id ORDER BY node) AS visit FROM s),
+m1 AS (SELECT v.request_id, k.dst, {_MET.format(node='node')} FROM v0 v JOIN knn k ON k.src = v.node WHERE NOT EXISTS (SELECT 1 FROM v0 x WHERE x.request_id = v.request_id AND x.node = k.dst) GROUP BY 1, 2),
+v1 AS (SELECT * FROM (SELECT *, 3 + {_NEXT_VISIT} FROM m1) WHERE visit <= 6),
+a1 AS (SELECT request_id, node FROM v0 UNION ALL SELECT request_id, dst FROM v1),
+n1 AS (SELECT request_id, count(*) AS size FROM a1 GROUP BY 1),
+m2 AS (SELECT v.request_id, k.dst, n1.size, {_MET.format(node='dst')} FROM v1 v JOIN n1 USING (request_id) JOIN knn k ON k.src = v.dst WHERE n1.size < 6 AND NOT EXISTS (SELECT 1 FROM a1 x WHERE x.request_id = v.request_id AND x.node = k.dst) GROUP BY 1, 2, 3),
+v2 AS (SELECT * FROM (SELECT *, size + {_NEXT_VISIT} FROM m2) WHERE visit <= 6)
+SELECT request_id, node, CAST(0 AS INTEGER) AS depth, visit, CAST(NULL AS BIGINT) AS from_node, CAST(NULL AS DOUBLE) AS weight FROM v0
+UNION ALL SELECT request_id, dst, 1, visit, m.src, round(m.w, 6) FROM v1 UNION ALL SELECT request_id, dst, 2, visit, m.src, round(m.w, 6) FROM v2
+"""
+
+
+@query(with_ctes("knn") + _CAPPED)
 def graph_bfs_capped(spark, d):
     seeds = X.requests(spark, d).select("request_id", F.explode(F.array("request_id", F.col("request_id") + 40, F.col("request_id") + 80)).alias("node")).withColumn("pos", F.col("node"))
-    return graph.expand_capped(X.knn(spark, d).persist(), seeds, 2).withColumn("weight", r6("weight"))
+    return graph.expand_capped(X.knn(spark, d), seeds, 2).withColumn("weight", r6("weight"))
 
 
 @query(with_ctes("prs") + ", lv AS (SELECT a, b, CAST(1 + (a % 7) AS DOUBLE) AS level FROM prs WHERE (a + b) % 2 = 0) SELECT p.a AS src, p.b AS dst, round(p.score, 6) AS weight, CAST(p.a AS VARCHAR) || '_' || CAST(p.b AS VARCHAR) AS key, coalesce(lv.level, CAST(1 AS DOUBLE)) AS level, coalesce(lv.level, CAST(1 AS DOUBLE)) >= 3 AS highway FROM prs p LEFT JOIN lv ON lv.a = p.a AND lv.b = p.b")
@@ -232,12 +255,12 @@ def graph_pheromone_view(spark, d):
 
 # --- immune --------------------------------------------------------------------------------
 
-_DIST = "near AS (SELECT b.id AS id, min(list_distance(a.v, b.v)) AS d, arg_min(a.id, list_distance(a.v, b.v)) AS p FROM emb a JOIN emb b ON a.id < 5 AND b.id >= 5 GROUP BY b.id), w AS (SELECT *, greatest(CAST(1 AS DOUBLE), max(d) OVER u) AS seen, row_number() OVER (ORDER BY id) AS call, avg(d) OVER l AS m, stddev_pop(d) OVER l AS sd, count(*) OVER l AS c FROM near WINDOW u AS (ORDER BY id ROWS UNBOUNDED PRECEDING), l AS (ORDER BY id ROWS 99 PRECEDING)), f AS (SELECT *, d / seen > 0.9 AS anomaly FROM w), g AS (SELECT *, sum(CASE WHEN call >= 50 AND anomaly AND c >= 2 AND d <= m + sd THEN 1 ELSE 0 END) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS fp, sum(CASE WHEN call >= 50 THEN 1 ELSE 0 END) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS wn FROM f)"
+_DIST = "near AS (SELECT b.id AS id, min(list_distance(a.v, b.v)) AS d, arg_min(a.id, list_distance(a.v, b.v)) AS p FROM emb a JOIN emb b ON a.id % 50 = 0 GROUP BY b.id), w AS (SELECT *, greatest(CAST(1 AS DOUBLE), max(d) OVER u) AS seen, row_number() OVER (ORDER BY id) AS call, avg(d) OVER l AS m, stddev_pop(d) OVER l AS sd, count(*) OVER l AS c FROM near WINDOW u AS (ORDER BY id ROWS UNBOUNDED PRECEDING), l AS (ORDER BY id ROWS 99 PRECEDING)), f AS (SELECT *, d / seen > 0.9 AS anomaly FROM w), g AS (SELECT *, sum(CASE WHEN call >= 50 AND anomaly AND c >= 2 AND d <= m + sd THEN 1 ELSE 0 END) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS fp, sum(CASE WHEN call >= 50 THEN 1 ELSE 0 END) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS wn FROM f)"
 
 
 def _detected(spark, d):
-    calls = X.vectors(spark, d).where("id >= 5").withColumn("seq", F.col("id"))
-    return immune.detect(calls, X.patterns(spark, d, 5), threshold=0.9, window=100, warmup=50)
+    calls = X.vectors(spark, d).withColumn("seq", F.col("id"))
+    return immune.detect(calls, X.patterns(spark, d), threshold=0.9, window=100, warmup=50)
 
 
 @query(with_ctes("emb") + f", {_DIST} SELECT id, CAST(p AS INTEGER) AS closest_pattern_idx, round(d, 6) AS min_distance, round(least(d / seen, 1), 6) AS score, anomaly AS is_anomaly FROM g")
@@ -255,17 +278,31 @@ def detect_fpr(spark, d):
     return _detected(spark, d).select("id", r6("fpr", "fpr"))
 
 
-@query(with_ctes("emb") + ", n AS (SELECT b.id, min(list_distance(a.v, b.v)) AS d FROM emb a JOIN emb b ON a.id < 20 AND b.id >= 20 GROUP BY b.id) SELECT id, CASE WHEN d <= 1.2 THEN 'Self' ELSE 'NonSelf' END AS label, round(CASE WHEN d <= 1.2 THEN 1 - d / CAST(1.2 AS DOUBLE) ELSE (d - CAST(1.2 AS DOUBLE)) / (1 + d - CAST(1.2 AS DOUBLE)) END, 6) AS confidence FROM n")
+@query(with_ctes("emb") + f", {_DIST} SELECT id, id % 7 AS caller, CAST(p AS INTEGER) AS closest_pattern_idx, round(d, 6) AS min_distance, round(least(d / seen, 1), 6) AS score FROM g")
+def detect_repeated_ids(spark, d):
+    """Seven callers, each with many calls: a call is judged by its own vector."""
+    calls = X.vectors(spark, d).select((F.col("id") % 7).alias("id"), F.col("id").alias("seq"), "vector")
+    out = immune.detect(calls, X.patterns(spark, d), threshold=0.9, window=100, warmup=50)
+    return out.select(F.col("seq").alias("id"), F.col("id").alias("caller"), "closest_pattern_idx", r6("min_distance", "min_distance"), r6("score", "score"))
+
+
+@query("SELECT vec_id AS id, CAST(-1 AS INTEGER) AS closest_pattern_idx, CAST(1 AS DOUBLE) AS score, true AS is_anomaly, CAST(0 AS DOUBLE) AS fpr FROM embeddings")
+def detect_without_patterns(spark, d):
+    out = immune.detect(X.vectors(spark, d).withColumn("seq", F.col("id")), X.patterns(spark, d).where("false"))
+    return out.select("id", "closest_pattern_idx", "score", "is_anomaly", "fpr")
+
+
+@query(with_ctes("emb") + ", n AS (SELECT b.id, min(list_distance(a.v, b.v)) AS d FROM emb a JOIN emb b ON a.id % 50 = 0 GROUP BY b.id) SELECT id, CASE WHEN d <= 1.2 THEN 'Self' ELSE 'NonSelf' END AS label, round(CASE WHEN d <= 1.2 THEN 1 - d / CAST(1.2 AS DOUBLE) ELSE (d - CAST(1.2 AS DOUBLE)) / (1 + d - CAST(1.2 AS DOUBLE)) END, 6) AS confidence FROM n")
 def classify_self(spark, d):
-    return immune.classify(X.vectors(spark, d).where("id >= 20"), X.patterns(spark, d, 20), radius=1.2).withColumn("confidence", r6("confidence"))
+    return immune.classify(X.vectors(spark, d), X.patterns(spark, d), radius=1.2, min_patterns=1).withColumn("confidence", r6("confidence"))
 
 
-_MATCH = f"SELECT e.id, a.id AS antigen_id, list_distance(a.v, e.v) AS s FROM emb e JOIN antig a ON e.id >= 50 AND NOT (greatest({X.NOW_MS} - a.first_seen_ms, 0) > 10 * CAST(86400000 AS BIGINT)) AND list_distance(a.v, e.v) < 1.15"
+_MATCH = f"SELECT e.id, a.id AS antigen_id, list_distance(a.v, e.v) AS s FROM emb e JOIN antig a ON NOT (greatest({X.NOW_MS} - a.first_seen_ms, 0) > 10 * CAST(86400000 AS BIGINT)) AND list_distance(a.v, e.v) < 1.15"
 
 
-@query(with_ctes("antig") + f", m AS (SELECT id, min(s) AS distance, arg_min(antigen_id, s) AS antigen_id FROM ({_MATCH}) GROUP BY id) SELECT e.id, CAST(m.antigen_id AS BIGINT) AS antigen_id, round(m.distance, 6) AS distance FROM emb e LEFT JOIN m ON m.id = e.id WHERE e.id >= 50")
+@query(with_ctes("antig") + f", m AS (SELECT id, min(s) AS distance, arg_min(antigen_id, s) AS antigen_id FROM ({_MATCH}) GROUP BY id) SELECT e.id, CAST(m.antigen_id AS BIGINT) AS antigen_id, round(m.distance, 6) AS distance FROM emb e LEFT JOIN m ON m.id = e.id")
 def antigen_match(spark, d):
-    return immune.match_antigens(X.vectors(spark, d).where("id >= 50"), X.antigens(spark, d), threshold=1.15, now=X.NOW_MS, days=10).select("id", "antigen_id", r6("distance", "distance"))
+    return immune.match_antigens(X.vectors(spark, d), X.antigens(spark, d), threshold=1.15, now=X.NOW_MS, days=10).select("id", "antigen_id", r6("distance", "distance"))
 
 
 @query(with_ctes("antig") + f"SELECT id, CASE WHEN greatest({X.NOW_MS} - first_seen_ms, 0) > 10 * CAST(86400000 AS BIGINT) THEN 'Expired' ELSE 'Active' END AS status FROM antig")
@@ -278,16 +315,16 @@ def antigen_evict(spark, d):
     return immune.evict(X.antigens(spark, d), 30).select("id", "encounter_count")
 
 
-@query(with_ctes("antig") + ", met AS (SELECT user_id AS id, count(*) AS times, max((epoch_us(ts) // 1000)) AS ms FROM events WHERE user_id < 50 GROUP BY 1) SELECT a.id, CAST(a.encounter_count + coalesce(m.times, 0) AS BIGINT) AS encounter_count, greatest(a.last_seen_ms, coalesce(m.ms, a.last_seen_ms)) AS last_seen_ms FROM antig a LEFT JOIN met m ON m.id = a.id")
+@query(with_ctes("antig") + ", met AS (SELECT user_id AS id, count(*) AS times, max((epoch_us(ts) // 1000)) AS ms FROM events GROUP BY 1) SELECT a.id, CAST(a.encounter_count + coalesce(m.times, 0) AS BIGINT) AS encounter_count, greatest(a.last_seen_ms, coalesce(m.ms, a.last_seen_ms)) AS last_seen_ms FROM antig a LEFT JOIN met m ON m.id = a.id")
 def antigen_encounters(spark, d):
-    met = X.table(spark, d, "events").where("user_id < 50").select(F.col("user_id").alias("id"), millis("ts").alias("ms"))
+    met = X.table(spark, d, "events").select(F.col("user_id").alias("id"), millis("ts").alias("ms"))
     return immune.record_encounters(X.antigens(spark, d), met).select("id", "encounter_count", "last_seen_ms")
 
 
-@query(with_ctes("antig") + "SELECT id, severity FROM antig WHERE id < 30 UNION ALL SELECT id, 'Loaded' FROM antig WHERE id >= 30")
+@query(with_ctes("antig") + "SELECT id, CASE WHEN id % 3 = 0 THEN 'Loaded' ELSE severity END AS severity FROM antig")
 def antigen_merge(spark, d):
     a = X.antigens(spark, d)
-    return immune.load_antigens(a.where("id < 30"), a.where("id >= 20").withColumn("severity", F.lit("Loaded"))).select("id", "severity")
+    return immune.load_antigens(a.where("id % 3 <> 0"), a.where("id % 3 <> 1").withColumn("severity", F.lit("Loaded"))).select("id", "severity")
 
 
 @query(with_ctes("antig") + "SELECT id AS antigen_id, severity, first_seen_ms, last_seen_ms, encounter_count, 'ACTIVE' AS status FROM antig")
@@ -315,7 +352,7 @@ def amplifier_levels(spark, d):
 
 @query()
 def nsa_detectors(spark, d):
-    return immune.generate_detectors(X.patterns(spark, d, 20), 10, 64, radius=4.0).select("pattern_idx", r6(V.norm(F.col("vector")), "norm"))
+    return immune.generate_detectors(X.patterns(spark, d), 10, 64, radius=4.0).select("pattern_idx", r6(V.norm(F.col("vector")), "norm"))
 
 
 @query()
@@ -440,7 +477,12 @@ def regulate_adjust_once(spark, d):
     return X.hourly(spark, d).select("hour", r6(a["detection_threshold"], "detection_threshold"), a["ant_count"].alias("ant_count"), *[r6(a[n], n) for n in ("mutation_rate", "evaporation_rho", "nonself_threshold")])
 
 
-@query()
+_FOLD = {"dt": ("CASE e.a WHEN 'ReduceLoad' THEN least(greatest(s.dt * 1.1, 0.3), 0.95) WHEN 'TightenSecurity' THEN least(greatest(s.dt * 0.9, 0.3), 0.95) ELSE s.dt END", 0.7), "ac": ("CASE e.a WHEN 'ReduceLoad' THEN least(greatest(round(s.ac * 0.9), 2), 20) ELSE s.ac END", 5), "mr": ("CASE e.a WHEN 'IncreaseExploration' THEN least(greatest(s.mr * 1.1, 0.01), 0.3) ELSE s.mr END", 0.05), "er": ("CASE e.a WHEN 'IncreaseExploration' THEN least(greatest(s.er * 1.1, 0.01), 0.5) ELSE s.er END", 0.1), "nt": ("CASE e.a WHEN 'TightenSecurity' THEN least(greatest(s.nt * 0.9, 0.3), 0.9) ELSE s.nt END", 0.6), "sa": ("CASE e.a WHEN 'TightenSecurity' THEN least(greatest(s.sa + 0.002, 0.8), 0.99) ELSE s.sa END", 0.99)}
+_STARTS = ", ".join(f"{n} := CAST({v} AS DOUBLE)" for n, (_, v) in _FOLD.items())
+_STEPS = ", ".join(f"{n} := CAST({c} AS DOUBLE)" for n, (c, _) in _FOLD.items())
+
+
+@query(with_ctes("hourly") + f", t AS (SELECT CAST(day(hour) AS INTEGER) AS engine, list(struct_pack(a := {_ACTION}, {_STARTS}) ORDER BY hour) AS es FROM hourly GROUP BY 1), f AS (SELECT engine, len(es) AS cycles, list_reduce(list_prepend(struct_pack(a := '', {_STARTS}), es), lambda s, e: struct_pack(a := e.a, {_STEPS})) AS p FROM t) SELECT engine, CAST(cycles AS BIGINT) AS cycles, CAST(p.ac AS INTEGER) AS ant_count, round(p.dt, 6) AS detection_threshold, round(p.mr, 6) AS mutation_rate, round(p.er, 6) AS evaporation_rho, round(p.nt, 6) AS nonself_threshold, round(p.sa, 6) AS caputo_suspect_alpha FROM f")
 def regulate_fold(spark, d):
     m = X.hourly(spark, d).withColumns({"engine": F.dayofmonth("hour"), "seq": millis("hour")})
     out = regulation.regulate(m)
@@ -459,6 +501,14 @@ def breaker_open(spark, d):
     return regulation.breaker(e, key="service", seconds=21_600).select("event_id", "samples", "failures", "opens")
 
 
+@query()
+def breaker_states(spark, d):
+    """Five services; each event is a request, an error one that failed."""
+    e = X.table(spark, d, "events").select("event_id", F.col("event_id").alias("seq"), millis("ts").alias("ms"), (F.col("user_id") % 5).alias("service"), (F.col("event_type") == "error").alias("failed"))
+    out = regulation.breaker_states(e, key="service", window_ms=21_600_000, open_ms=10_800_000)
+    return out.select("event_id", "service", "state", "allowed")
+
+
 @query(with_ctes("hourly") + "SELECT hour, CASE WHEN s AND p AND l THEN 'Healthy' WHEN s OR p THEN 'Degraded' ELSE 'Unhealthy' END AS health FROM (SELECT hour, error_rate < 0.3 AS s, n > 10 AS p, latency_p95_ms < 200 AS l FROM hourly)")
 def health_status(spark, d):
     return X.hourly(spark, d).select("hour", regulation.health(F.col("error_rate") < 0.3, F.col("n") > 10, F.col("latency_p95_ms") < 200).alias("health"))
@@ -616,10 +666,15 @@ def wal_recovery_report(spark, d):
     return storage.recovery_report(_damaged(spark, d))
 
 
-@query()
+_F32 = "round(CAST(CAST(embedding[{i}] AS FLOAT) AS DOUBLE), 6)"
+
+
+@query("SELECT vec_id AS id, " + ", ".join(f"{_F32.format(i=i + 1)} AS mode_{i}" for i in range(8)) + f", vec_id * 1000 AS last_updated_ms, CAST(0.5 AS DOUBLE) AS alpha, {_F32.format(i=1)} AS cached_intensity FROM embeddings")
 def page_codec(spark, d):
     s = X.vectors(spark, d).select("id", F.slice("vector", 1, 8).cast("array<float>").alias("modes"), (F.col("id") * 1000).alias("last_updated_ms"), F.lit(0.5).cast("float").alias("alpha"), F.col("vector")[0].cast("float").alias("cached_intensity"))
-    return storage.decode_states(storage.encode_states(s))
+    back = storage.decode_states(storage.encode_states(s))
+    double = lambda c: r6(c.cast("double"))
+    return back.select("id", *[double(F.col("modes")[i]).alias(f"mode_{i}") for i in range(8)], "last_updated_ms", *[double(F.col(c)).alias(c) for c in ("alpha", "cached_intensity")])
 
 
 @query("SELECT event_id, CASE WHEN length(props) >= 6 THEN substr(props, 3, 4) END AS part FROM events")
@@ -628,12 +683,12 @@ def mmap_range_read(spark, d):
     return e.select("event_id", storage.read_range(F.col("data"), 2, 4).cast("string").alias("part"))
 
 
-@query()
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'unknown message type: 0x00' END AS error, CASE WHEN event_id % 4 > 0 THEN regexp_replace(lpad(lower(hex(user_id)), 32, '0'), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') END AS node_id, CASE WHEN event_id % 4 > 0 THEN event_id END AS sequence_number, CASE event_id % 4 WHEN 1 THEN 'PheromoneSync' WHEN 2 THEN 'AntigenSync' WHEN 3 THEN 'GraphDeltaSync' END AS message_type, CASE WHEN event_id % 4 > 0 THEN CAST((epoch_us(ts) // 1000) AS VARCHAR) END AS causal_watermark, CASE WHEN event_id % 4 > 0 THEN props END AS payload FROM events")
 def gossip_decode(spark, d):
     hexed = lambda c, n: F.lpad(F.hex(c), n, "0")
     packet = F.unhex(F.concat(F.lit("03"), F.lpad(F.hex(F.col("user_id")), 32, "0"), hexed(F.col("event_id"), 8), F.lpad(F.hex((F.col("event_id") % 4).cast("bigint")), 2, "0"), hexed(millis("ts"), 16), F.hex(F.col("props").cast("binary"))))
     out = storage.decode_packets(X.table(spark, d, "events").select("event_id", packet.alias("packet")))
-    return out.select("event_id", "error", "node_id", "sequence_number", "message_type", "causal_watermark", F.col("payload").cast("string").alias("payload"))
+    return out.select("event_id", "error", "node_id", "sequence_number", "message_type", F.col("causal_watermark").cast("string").alias("causal_watermark"), F.col("payload").cast("string").alias("payload"))
 
 
 @query(with_ctes("emb") + f"SELECT 'log:query:' || CAST(request_id AS VARCHAR) AS key, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS value FROM ({_RANKED}) WHERE rank <= 10 GROUP BY request_id")
@@ -648,6 +703,12 @@ def checkpoint_roundtrip(spark, d):
     return storage.snapshot(X.bipartite(spark, d), f"{storage.scratch(spark)}/snapshot").withColumn("level", r6("level"))
 
 
+@query("WITH RECURSIVE e AS (SELECT user_id AS request_id, event_id AS seq, (epoch_us(ts) // 1000) AS ms FROM events), f AS (SELECT request_id, min(ms) AS ms FROM e GROUP BY 1 UNION ALL SELECT f.request_id, (SELECT min(e.ms) FROM e WHERE e.request_id = f.request_id AND e.ms >= f.ms + 86400000) FROM f WHERE EXISTS (SELECT 1 FROM e WHERE e.request_id = f.request_id AND e.ms >= f.ms + 86400000)) SELECT f.request_id, min(e.seq) AS seq FROM f JOIN e ON e.request_id = f.request_id AND e.ms = f.ms GROUP BY f.request_id, f.ms")
+def idempotent_for_a_day(spark, d):
+    e = X.table(spark, d, "events").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), millis("ts").alias("ms"))
+    return storage.idempotent(e, ttl_ms=86_400_000).select("request_id", "seq")
+
+
 @query("SELECT user_id AS request_id, min(event_id) AS seq, arg_min(event_type, event_id) AS event_type FROM events GROUP BY 1")
 def idempotent_first(spark, d):
     return storage.idempotent(X.table(spark, d, "events").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), "event_type"))
@@ -655,18 +716,25 @@ def idempotent_first(spark, d):
 
 @query()
 def shard_assign(spark, d):
-    return X.table(spark, d, "customer").select("c_custkey", F.pmod(F.xxhash64("c_mktsegment"), F.lit(256)).cast("int").alias("shard"))
+    return X.table(spark, d, "customer").select("c_custkey", cluster.shard(cluster.request_hash("c_mktsegment")).alias("shard"))
 
 
 @query("SELECT c_nationkey, arg_min(c_custkey, struct_pack(a := c_acctbal, k := c_custkey)) AS node FROM customer WHERE c_acctbal < 5000 GROUP BY c_nationkey")
 def least_loaded(spark, d):
-    return X.table(spark, d, "customer").where("c_acctbal < 5000").groupBy("c_nationkey").agg(F.min(F.struct("c_acctbal", "c_custkey")).alias("m")).select("c_nationkey", F.col("m.c_custkey").alias("node"))
+    loads = X.table(spark, d, "customer").where("c_acctbal < 5000").select("c_nationkey", F.col("c_custkey").alias("node"), F.col("c_acctbal").alias("load"))
+    return cluster.least_loaded(loads, "c_nationkey")
+
+
+@query("WITH l AS (SELECT c_nationkey, c_custkey AS node, c_acctbal / 10000 AS load FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY load, node) AS r FROM l), b AS (SELECT c_nationkey, max(CASE WHEN r = 1 THEN node END) AS best, max(CASE WHEN r = 2 THEN node END) AS second FROM r GROUP BY 1) SELECT l.node AS primary_node, CASE WHEN l.load > 0.85 THEN coalesce(CASE WHEN b.best = l.node THEN b.second ELSE b.best END, l.node) ELSE l.node END AS node FROM l JOIN b USING (c_nationkey)")
+def route_by_load(spark, d):
+    loads = X.table(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("node"), (F.col("c_acctbal") / 10_000).alias("load"))
+    return cluster.route(loads.select("c_nationkey", F.col("node").alias("primary")), loads, "c_nationkey").select(F.col("primary").alias("primary_node"), "node")
 
 
 @query("SELECT name || ' ' || CAST(v AS VARCHAR) AS line FROM (SELECT unnest(['engine_events_total', 'engine_errors_total', 'engine_users']) AS name, unnest([count(*), count(*) FILTER (event_type = 'error'), count(DISTINCT user_id)]) AS v FROM events)")
 def metrics_lines(spark, d):
     m = X.table(spark, d, "events").agg(F.count(F.lit(1)).alias("engine_events_total"), F.count_if(F.col("event_type") == "error").alias("engine_errors_total"), F.countDistinct("user_id").alias("engine_users"))
-    return m.select(F.explode(F.array(*[F.concat(F.lit(f"{c} "), F.col(c).cast("string")) for c in m.columns])).alias("line"))
+    return cluster.metric_lines(m)
 
 
 # --- streams (batch form) ------------------------------------------------------------------
@@ -714,12 +782,17 @@ def node_persist(spark, d):
 
 @query("WITH q AS (SELECT user_id AS key, min(event_id) AS inserted, count(*) AS accesses FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY inserted DESC) AS newest, row_number() OVER (ORDER BY accesses DESC, key) AS most FROM q) SELECT key, newest <= 50 AS in_l1, most <= 40 AS in_l3 FROM r")
 def cache_evict(spark, d):
-    q = X.table(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg(F.min("event_id").alias("inserted"), F.count(F.lit(1)).alias("accesses"))
-    l1 = q.orderBy(F.desc("inserted")).limit(50).select("key", F.lit(True).alias("l1"))
-    l3 = q.orderBy(F.desc("accesses"), "key").limit(40).select("key", F.lit(True).alias("l3"))
+    q = cache.uses(X.table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), millis("ts").alias("ms")))
+    l1, l3 = (cache.kept(q, order, n).withColumn(name, F.lit(True)) for order, n, name in (("recent", 50, "l1"), ("frequent", 40, "l3")))
     return q.select("key").join(l1, "key", "left").join(l3, "key", "left").select("key", F.coalesce("l1", F.lit(False)).alias("in_l1"), F.coalesce("l3", F.lit(False)).alias("in_l3"))
 
 
+@query(f"WITH q AS (SELECT user_id AS key, max(epoch_us(ts) // 1000) AS last_ms FROM events GROUP BY 1) SELECT key FROM (SELECT key, row_number() OVER (ORDER BY key DESC) AS n FROM q WHERE {X.NOW_MS} - last_ms < 864000000) WHERE n <= 60")
+def cache_smallest_key(spark, d):
+    q = cache.uses(X.table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), millis("ts").alias("ms")))
+    return cache.kept(q, "keyed", 60, now=X.NOW_MS, ttl_ms=864_000_000)
+
+
 @query(_PEEK + " SELECT st.event_id, round(CASE WHEN st.k % 2 = 0 THEN pk.total ELSE pk.stepped END, 4) AS intensity, CASE WHEN st.k % 2 = 0 THEN CAST(0.99 AS DOUBLE) ELSE CAST(0.05 AS DOUBLE) END AS alpha FROM st JOIN pk ON pk.event_id = st.event_id")
 def memory_suspect_confirm(spark, d):
     """Suspects (even k) are given the order that forgets, confirmed antigens a stimulus and the

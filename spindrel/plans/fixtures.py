@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spindrel.functions.time import millis
 from spindrel.operators import retrieval
 from spindrel.operators.lifecycle import Thresholds
+from spindrel.sources.storage import cut
 
 #: Thresholds at which the tables show every transition.
 NODE_THRESHOLDS = Thresholds(stem_usage=10, progenitor_usage=14, progenitor_connections=3, dying_entropy=0.9, dying_usage=12)
@@ -22,12 +23,17 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.dataset(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-def requests(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
-    return vectors(spark, d).where(F.col("id") < n).withColumnRenamed("id", "request_id")
+#: What asks, and what is known beforehand: every vector whose id is divisible by 50, at any size;
+#: all vectors are searched.
+ASKS = "id % 50 = 0"
 
 
-def patterns(spark: SparkSession, d: str, n: int) -> DataFrame:
-    return vectors(spark, d).where(F.col("id") < n).select(F.col("id").cast("int").alias("pattern_idx"), "vector")
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).where(ASKS).withColumnRenamed("id", "request_id")
+
+
+def patterns(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).where(ASKS).select(F.col("id").cast("int").alias("pattern_idx"), "vector")
 
 
 def query(spark: SparkSession, d: str) -> list[float]:
@@ -39,8 +45,8 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def knn(spark: SparkSession, d: str) -> DataFrame:
-    """The graph of similar vectors; entries are ranked by the other end."""
-    both = pairs(spark, d)
+    """The graph of similar vectors, written once; entries are ranked by the other end."""
+    both = cut(pairs(spark, d))
     entries = both.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("score").alias("weight")).unionByName(both.select(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("score").alias("weight")))
     return entries.withColumn("adj_pos", F.col("dst"))
 
@@ -75,7 +81,7 @@ def hourly(spark: SparkSession, d: str) -> DataFrame:
 
 def antigens(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), millis("ts").alias("first_seen_ms"), k_of().alias("k"))
-    v = vectors(spark, d).where("id < 50").withColumnRenamed("vector", "pattern")
+    v = vectors(spark, d).withColumnRenamed("vector", "pattern")
     severity = F.element_at(F.array(*[F.lit(x) for x in ("Low", "Medium", "High", "Critical")]), (F.col("id") % 4 + 1).cast("int"))
     return v.join(e, "id").select("id", "pattern", F.col("k").cast("bigint").alias("encounter_count"), "first_seen_ms", (F.col("first_seen_ms") + 1000).alias("last_seen_ms"), severity.alias("severity"), F.lit("Active").alias("status"))
 
@@ -86,14 +92,14 @@ NOW_MS = 1_705_276_800_000
 # The same as SQL.  A CTE may use those before it.
 CTE = {
     "emb": "emb AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
-    "prs": "prs AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS score FROM emb a JOIN emb b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.3)",
+    "prs": "prs AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS score FROM emb a JOIN emb b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.3)",
     "knn": "knn AS (SELECT a AS src, b AS dst, score AS weight FROM prs UNION ALL SELECT b, a, score FROM prs)",
     "ev": "ev AS (SELECT *, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS INTEGER) AS k FROM events)",
     "nodes": "nodes AS (SELECT user_id, event_type, count(*) AS usage_count, (max(k) - min(k)) / CAST(100 AS DOUBLE) AS entropy, count(DISTINCT CAST(ts AS DATE)) % 8 AS connections, CASE user_id % 3 WHEN 0 THEN 'Stem' WHEN 1 THEN 'Progenitor' ELSE 'Specialized' END AS state FROM ev GROUP BY user_id, event_type)",
     "lat": "lat AS (SELECT CAST(floor(value * 1000) AS BIGINT) AS latency_us FROM events)",
     "dep": "dep AS (SELECT event_id AS seq, user_id % 50 AS src, CAST(k % 10 AS BIGINT) AS dst, value / 100 AS amount, (epoch_us(ts) // 1000) AS ms FROM ev)",
     "hourly": "hourly AS (SELECT date_trunc('hour', ts) AS hour, max(value) AS latency_p95_ms, avg(CASE WHEN event_type = 'error' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS error_rate, count(DISTINCT event_type) / CAST(10 AS DOUBLE) AS pheromone_entropy, count(*) / CAST(2 AS DOUBLE) AS anomaly_rate, count(*) / CAST(25 AS DOUBLE) AS resource_utilization, count(*) AS n FROM events GROUP BY 1)",
-    "antig": "antig AS (SELECT e.id, e.v, CAST(x.k AS BIGINT) AS encounter_count, (epoch_us(x.ts) // 1000) AS first_seen_ms, (epoch_us(x.ts) // 1000) + 1000 AS last_seen_ms, CASE e.id % 4 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' ELSE 'Critical' END AS severity FROM emb e JOIN ev x ON x.event_id = e.id WHERE e.id < 50)",
+    "antig": "antig AS (SELECT e.id, e.v, CAST(x.k AS BIGINT) AS encounter_count, (epoch_us(x.ts) // 1000) AS first_seen_ms, (epoch_us(x.ts) // 1000) + 1000 AS last_seen_ms, CASE e.id % 4 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' ELSE 'Critical' END AS severity FROM emb e JOIN ev x ON x.event_id = e.id)",
 }
 _NEEDS = {"prs": ["emb"], "knn": ["prs"], "nodes": ["ev"], "dep": ["ev"], "antig": ["emb", "ev"]}
 

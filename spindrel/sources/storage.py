@@ -6,6 +6,7 @@ import struct
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,10 +60,14 @@ def read_range(binary: Column, offset: int, length: int) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names in spark.checkpoint.dir; only where
-    it names none, on this machine."""
+    """A new folder in the shared one that the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a local session gets one of this machine; a cluster is refused, since
+    its executors would not see it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not (spark.conf.get("spark.master", "") or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spindrel-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return f"{path.rstrip('/')}/{uuid.uuid4().hex}"
@@ -81,30 +86,36 @@ def snapshot(df: DataFrame, path: str) -> DataFrame:
 
 
 #: Eight modes, the time, the order and the intensity, little-endian.
-_STATE = "<8fQff"
+_STATE = np.dtype([("modes", "<f4", 8), ("last_updated_ms", "<u8"), ("alpha", "<f4"), ("cached_intensity", "<f4")])
 
 
 def encode_states(states: DataFrame) -> DataFrame:
     """(id, page, checksum): fractional states (id, modes, last_updated_ms, alpha,
-    cached_intensity) as 48 bytes each."""
+    cached_intensity) as 48 bytes each, a batch at a time."""
 
     def run(batches):
         for b in batches:
-            pages = [struct.pack(_STATE, *m, t, a, c) for m, t, a, c in zip(*(b.column(x).to_pylist() for x in ("modes", "last_updated_ms", "alpha", "cached_intensity")))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(pages, pa.binary())], names=["id", "page"])
+            pages = np.zeros(len(b), _STATE)
+            pages["modes"] = b.column("modes").flatten().to_numpy(zero_copy_only=False).reshape(len(b), 8)
+            for name in ("last_updated_ms", "alpha", "cached_intensity"):
+                pages[name] = b.column(name).to_numpy(zero_copy_only=False)
+            fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_STATE.itemsize), len(b), [None, pa.py_buffer(pages.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column("id"), fixed.cast(pa.binary())], names=["id", "page"])
 
     return states.select("id", "modes", "last_updated_ms", "alpha", "cached_intensity").mapInArrow(run, "id bigint, page binary").withColumn("checksum", F.crc32("page"))
 
 
 def decode_states(pages: DataFrame) -> DataFrame:
-    """The states of pages whose checksum holds."""
+    """The states of pages whose checksum and size hold."""
 
     def run(batches):
         for b in batches:
-            rows = [struct.unpack(_STATE, p) for p in b.column("page").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([list(r[:8]) for r in rows], pa.list_(pa.float32())), pa.array([r[8] for r in rows], pa.int64()), pa.array([r[9] for r in rows], pa.float32()), pa.array([r[10] for r in rows], pa.float32())], names=["id", "modes", "last_updated_ms", "alpha", "cached_intensity"])
+            rows = np.frombuffer(b"".join(b.column("page").to_pylist()), _STATE)
+            modes = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(rows) + 1, 8, dtype=np.int32)), pa.array(rows["modes"].ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), modes, pa.array(rows["last_updated_ms"].astype(np.int64)), pa.array(rows["alpha"].copy()), pa.array(rows["cached_intensity"].copy())], names=["id", "modes", "last_updated_ms", "alpha", "cached_intensity"])
 
-    return pages.where(F.crc32("page") == F.col("checksum")).select("id", "page").mapInArrow(run, "id bigint, modes array<float>, last_updated_ms bigint, alpha float, cached_intensity float")
+    sound_ = (F.crc32("page") == F.col("checksum")) & (F.octet_length("page") == _STATE.itemsize)
+    return pages.where(sound_).select("id", "page").mapInArrow(run, "id bigint, modes array<float>, last_updated_ms bigint, alpha float, cached_intensity float")
 
 
 #: A packet: marker, node, sequence, type, watermark, all big-endian, then the payload.
@@ -132,6 +143,23 @@ def decode_packets(packets: DataFrame, column: str = "packet") -> DataFrame:
     return out.withColumns({"node_id": good(node), "sequence_number": good(number(17, 4).cast("bigint")), "message_type": good(kind), "causal_watermark": good(number(22, 8).cast("decimal(20,0)")), "payload": good(F.expr(f"substring({column}, 31)"))})
 
 
-def idempotent(requests: DataFrame) -> DataFrame:
-    """The first request (request_id, seq, ...) of each id."""
-    return requests.withColumn("n", F.row_number().over(Window.partitionBy("request_id").orderBy("seq"))).where("n = 1").drop("n")
+def idempotent(requests: DataFrame, ttl_ms: int | None = None, capacity: int | None = None) -> DataFrame:
+    """The requests (request_id, seq, ...) that are answered anew: the first of each id.
+
+    With ``ttl_ms`` an answer is kept so long from the request (ms) it was made for, so later
+    ones are answered anew; with ``capacity`` only the ids answered last keep theirs.
+    """
+    if ttl_ms is not None:
+        times = requests.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("ms", "seq"))).alias("es"))
+        zero = F.struct(F.lit(None).cast("bigint").alias("kept"), F.array().cast("array<bigint>").alias("seqs"))
+        # an id's own requests, one after the other
+        step = lambda s, e: F.when(s["kept"].isNull() | (e["ms"] - s["kept"] >= ttl_ms), F.struct(e["ms"].alias("kept"), F.array_append(s["seqs"], e["seq"]).alias("seqs"))).otherwise(s)
+        anew = times.select("request_id", F.explode(F.aggregate("es", zero, step)["seqs"]).alias("seq"))
+        out = requests.join(anew, ["request_id", "seq"], "left_semi")
+    else:
+        out = requests.withColumn("n", F.row_number().over(Window.partitionBy("request_id").orderBy("seq"))).where("n = 1").drop("n")
+    if capacity is None:
+        return out
+    last = out.groupBy("request_id").agg(F.max("seq").alias("last")).orderBy(F.desc("last")).limit(capacity).select("request_id")
+    return out.join(last, "request_id", "left_semi")
+

@@ -223,3 +223,73 @@ def test_pipeline_errors(spark):
     found = {r.request_id: r for r in pipeline.run(vectors(spark, TRIO), asked, edges, k=2).collect()}
     assert found[1].error is None and found[1].hits == 2 and found[1].nodes == 6
     assert found[2].error.startswith("validate") and found[3].error == "execute: empty payload"
+
+
+def test_detect_counts_calls(spark):
+    """Repeated ids are judged one by one; without patterns all is odd; other dimensions fail."""
+    own = spark.createDataFrame([(0, [0.0, 0.0])], "pattern_idx int, vector array<double>")
+    calls = spark.createDataFrame([(1, 7, [0.0, 0.0]), (2, 7, [5.0, 1.0])], "seq int, id bigint, vector array<double>")
+    assert [round(r.min_distance, 3) for r in immune.detect(calls, own).orderBy("seq").collect()] == [0.0, 5.099]
+    none = immune.detect(calls, own.where("false")).collect()
+    assert [(r.min_distance, r.closest_pattern_idx, r.score, r.is_anomaly, r.fpr) for r in none] == [(float("inf"), -1, 1.0, True, 0.0)] * 2
+    with pytest.raises(Exception, match="dimension mismatch"):
+        immune.detect(spark.createDataFrame([(1, 7, [0.0])], "seq int, id bigint, vector array<double>"), own).collect()
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MAX_QUERY_BYTES", 100)
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(40)]
+    p = spark.createDataFrame([(i, v) for i, v in rows if i < 20] + [(99, [1.0])], "pattern_idx int, vector array<double>")
+    found = {r.id: (r.pattern_idx, r.distance) for r in retrieval.with_nearest(vectors(spark, [*rows, (77, [3.0]), (78, [1.0, 2.0, 3.0])]), p).collect()}
+    for i, v in rows:
+        want = min((((v[0] - w[0]) ** 2 + (v[1] - w[1]) ** 2) ** 0.5, j) for j, w in rows if j < 20)
+        assert found[i] == (want[1], want[0])
+    assert found[77] == (99, 2.0) and found[78] == (None, None)
+
+
+def test_mutations_like_plain_draws(spark):
+    v = spark.createDataFrame([(3, [1.0, 2.0, 3.0]), (4, [0.5]), (5, [])], "id bigint, vector array<double>")
+    got = {(r.id, r.variant_no): (r.variant, r.score) for r in immune.mutations(v, n=3, fitness=lambda x: float(x.sum())).collect()}
+    for i, vector in ((3, [1.0, 2.0, 3.0]), (4, [0.5]), (5, [])):
+        draw = immune._Shift((42 + i * 0x9E3779B97F4A7C15) % (1 << 64) or 1)
+        for k in range(3):
+            want = [x + draw.normal() * 0.05 for x in vector]
+            assert np.allclose(got[i, k][0], want, atol=1e-12) and abs(got[i, k][1] - sum(want)) < 1e-12
+
+
+def test_sql_functions_like_columns(spark):
+    from spindrel.functions import vector as V
+    from spindrel.operators import memory_kernel
+
+    V.register(spark)
+    rows = [([1.0, 2.0], [2.0, 1.0], 0.5), ([1.0], [1.0, 2.0], 88.0), ([0.0], [1.0], -3.0), ([float("nan")], [1.0], 700.0), ([], [], 1e-9)]
+    f = spark.createDataFrame(rows, "a array<double>, b array<double>, x double")
+    both = f.select(F.expr("cos_sim(a, b)"), V.cosine(F.col("a"), F.col("b")), F.expr("l2_dist(a, b)"), V.l2(F.col("a"), F.col("b")), F.expr("exp_neg_fast(x)"), memory_kernel.exp_neg(F.col("x"))).collect()
+    for r in both:
+        assert all(repr(r[i]) == repr(r[i + 1]) for i in (0, 2, 4)), r
+
+
+def test_breaker_states(spark):
+    """Closed, open, half-open and back, against a plain fold."""
+    rng = __import__("random").Random(3)
+    rows, ms = [], 0
+    for i in range(400):
+        ms += rng.choice([500, 2_000, 9_000, 31_000])
+        rows.append((f"s{i % 3}", i, ms, rng.random() < (0.6 if (i // 60) % 2 else 0.05)))
+    got = {r.seq: (r.state, r.allowed) for r in regulation.breaker_states(spark.createDataFrame(rows, "service string, seq bigint, ms bigint, failed boolean"), key="service").collect()}
+    for service in ("s0", "s1", "s2"):
+        state, opened, log = "Closed", None, []
+        for s, seq, ms, failed in rows:
+            if s != service:
+                continue
+            if state == "Open" and ms - opened >= 30_000:
+                state = "HalfOpen"
+            assert got[seq] == (state, state != "Open")
+            if state == "Open":
+                continue
+            log = [(t, f) for t, f in log if t > ms - 60_000] + [(ms, failed)]
+            if not failed and state == "HalfOpen":
+                state, log = "Closed", [(t, f) for t, f in log if not f]
+            elif failed and len(log) >= 5 and sum(f for _, f in log) > 0.2 * len(log):
+                state, opened = "Open", ms
+    assert {s for s, _ in got.values()} == {"Closed", "Open", "HalfOpen"}
