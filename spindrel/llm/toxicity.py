@@ -122,7 +122,7 @@ def restore(text: str, model: Model) -> str:
 
 
 #: A feature weighs enough if its log odds times the root of its rows are so far from even.
-MIN_WEIGHT = 4.0
+MIN_WEIGHT = 6.0
 #: Beginnings of words of these sizes are features, besides whole words.
 PREFIXES = (4, 5, 6, 7)
 
@@ -196,19 +196,20 @@ def character_counts(docs: DataFrame) -> np.ndarray:
 
 
 def fit_logistic(rows: list[list[int]], labels: np.ndarray, size: int, *, ridge: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated gradient steps on sparse 0/1 rows."""
+    """Weights and intercept by accelerated gradient steps on sparse 0/1 rows; the two labels
+    count alike, however rare one is."""
     if not len(rows):
         return np.zeros(size), 0.0
+    share = np.clip(labels.mean(), 1e-6, 1 - 1e-6)
+    counts = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share))
     at = np.fromiter((j for r in rows for j in r), np.int64)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     n, w, b = len(rows), np.zeros(size), 0.0
-    base = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
-    b = float(np.log(base / (1 - base)))
-    seen = np.bincount(at, minlength=size)
+    seen = np.bincount(at, weights=counts[of], minlength=size)
     momentum, scale = np.zeros(size + 1), 1.0 / (0.25 * (seen + 1) * 4 + ridge)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(of, weights=w[at], minlength=n), -30, 30)))
-        error = p - labels
+        error = (p - labels) * counts
         step = np.append((np.bincount(at, weights=error[of], minlength=size) + ridge * w) * scale, error.mean())
         momentum = 0.8 * momentum + step
         w, b = w - momentum[:-1], b - float(momentum[-1])
