@@ -86,11 +86,13 @@ class _Grams:
 
 
 def _numbers_blob(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").tobytes())
+    """Counts of four bytes each, or of eight where one needs them; the first byte says which."""
+    width = 8 if len(x) and int(x.max()) >> 32 else 4
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(x.astype(f"<u{width}").tobytes())
 
 
 def _blob_numbers(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4").astype(np.int64)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), f"<u{blob[0]}").astype(np.int64)
 
 
 def _texts(rows: pa.Table) -> list[bytes | None]:
@@ -117,7 +119,8 @@ def _answer(key, table):
     """Sum the counts of a key range over all groups."""
     keys = [packing.decode_sorted(x) for x in table.column("keys").to_pylist()]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([_blob_numbers(x) for x in table.column("counts").to_pylist()]), minlength=len(distinct)).astype(np.int64)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, at, np.concatenate([_blob_numbers(x) for x in table.column("counts").to_pylist()]))
     cuts = np.cumsum([len(k) for k in keys])
     sums = [_numbers_blob(x) for x in np.split(total[at], cuts[:-1])]
     words = (distinct & np.uint64(1)) == 0

@@ -386,26 +386,78 @@ def test_line_bands_recall(spark):
     assert pairs > 100 and hit / pairs >= 0.98
 
 
+def fold_words(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + ["\n"]
+
+
+def plain_lm(rows):
+    """(held out, tokens, known, base score, score) of each row, from counts in dictionaries."""
+    crc = lambda i: zlib.crc32(("" if i is None else str(i)).encode())
+    one, two, judges = collections.Counter(), collections.Counter(), []
+    for i, t in rows:
+        if crc(i) % 5 != 1:
+            words = fold_words(t)
+            one.update(words)
+            two.update(zip(["\t", *words], words))
+            if crc(i) // 5 % lm.HELD_OUT == 0:
+                judges.append(words)
+    n, v, starts = sum(one.values()), len(one), one["\n"]
+
+    def estimates(before, word, less):
+        context = max((starts if before == "\t" else one[before]) - less, 0)
+        bucket = min(int(math.log2(context)) + 1, lm.BUCKETS - 1) if context else 0
+        return bucket, max(two[before, word] - less, 0) / max(context, 1), max(one[word] - less, 0) / max(n - less, 1)
+
+    cell = lambda p: min(round(-4 * math.log2(p)), 254) if p > 0 else 255
+    cells = collections.Counter()
+    for words in judges:
+        for pair in zip(["\t", *words], words):
+            bucket, p2, p1 = estimates(*pair, 1)
+            cells[(bucket * 256 + cell(p2)) * 256 + cell(p1)] += 1
+    weights = lm.learn(dict(cells), v)
+    out = []
+    for i, t in rows:
+        words = fold_words(t)
+        score = 0.0
+        for pair in zip(["\t", *words], words):
+            bucket, p2, p1 = estimates(*pair, 0)
+            a, b, g = weights[bucket]
+            score += math.log10(a * p2 + b * p1 + g / (v + 1))
+        out.append((crc(i) % 5 == 1, len(words), sum(one[w] > 0 for w in words), round(sum(math.log10((one[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words), 5), round(score, 5)))
+    return n, out
+
+
 def test_lm(spark, docs, texts, odd, none):
-    fold = lambda t: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["\n"]
-    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
     for frame, rows in ((docs, list(texts.items())), (odd, ODD)):
-        counts, pairs, starts = collections.Counter(), collections.Counter(), 0
-        for i, t in rows:
-            if not held(i):
-                w = fold(t)
-                counts.update(w)
-                pairs.update(zip(["\t", *w], w))
-                starts += 1
-        n, v = sum(counts.values()), len(counts)
+        n, want = plain_lm(rows)
         got = lm.score(frame, group_bytes=50_000).collect()
-        want = sorted((held(i), len(fold(t)), sum(counts[w] > 0 for w in fold(t)), round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in fold(t)), 6)) for i, t in rows)
-        assert sorted((r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
+        assert sorted((r.held_out, r.n_tokens, r.n_known, round(r.base_score, 5)) for r in got) == sorted(x[:4] for x in want)
+        assert np.allclose(sorted(r.score for r in got), sorted(x[4] for x in want), rtol=1e-6, atol=1e-3)
         assert {r.train_tokens for r in got} == {n}
-    assert sum(r.score for r in lm.score(docs).collect() if r.held_out) > sum(r.base_score for r in lm.score(docs).collect() if r.held_out)
+    held = [r for r in lm.score(docs).collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert lm.score(none).count() == 0
 
 
+def test_lm_learns_like_plain_em():
+    """One bucket's weights against expectation-maximisation written out."""
+    rng = random.Random(16)
+    cells = {(5 * 256 + rng.randrange(40)) * 256 + rng.randrange(20, 90): rng.randint(1, 50) for _ in range(60)}
+    w = [1 / 3] * 3
+    for _ in range(100):
+        total = [1.0] * 3
+        for c, n in cells.items():
+            p = [w[0] * 2 ** (-(c // 256 % 256) / 4), w[1] * 2 ** (-(c % 256) / 4), w[2] / 1001]
+            total = [t + n * x / sum(p) for t, x in zip(total, p)]
+        w = [t / sum(total) for t in total]
+    assert np.allclose(lm.learn(cells, 1000)[5], w, atol=1e-9)
+
+
+def test_lm_counts_of_eight_bytes():
+    for x in ([], [0, 7, (1 << 32) - 1], [1, 1 << 32, 1 << 40]):
+        assert lm._blob_numbers(lm._numbers_blob(np.array(x, np.int64))).tolist() == x
+
+
 def test_lm_weights_sum_to_one():
     cells = {(3 * 256 + 8) * 256 + 40: 50, (3 * 256 + 255) * 256 + 60: 10, (0 * 256 + 255) * 256 + 30: 5}
     w = lm.learn(cells, 1000)
@@ -685,7 +737,7 @@ def test_sharding(spark, docs, texts, odd, none):
 def test_sharding_moves_little(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     before, after = ({r.doc_id: r.shard for r in sharding.assign(docs, shards=n).collect()} for n in (8, 9))
-    assert sum(before[i] != after[i] for i in before) < 0.45 * len(before)
+    assert sum(before[i] != after[i] for i in before) < 0.2 * len(before)
 
 
 def test_sharding_equal_rows(spark):
