@@ -1,6 +1,9 @@
 """Small fixtures with known answers."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +41,48 @@ def test_batch_agrees_with_single(spark):
         assert [batch[q.request_id, i + 1] for i in range(7)] == [r.id for r in retrieval.top_k(data.where("vector is not null"), q.vector, 7).collect()]
 
 
+class Held:
+    """Takes the place of a table, to run in this process what would be sent to the workers."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_best_of_many_queries_in_tiles(spark):
+    """A batch against all queries at once would take 320 MB."""
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(2000, 2))
+    m[500:1000] = m[0]
+    asked = spark.range(20_000).select(F.col("id").alias("request_id"), F.array(F.cos(F.col("id") / 7), F.sin(F.col("id") / 7)).alias("vector"))
+    held = retrieval._block(Held(spark), asked, 0.1, 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(m.tolist())], names=["id", "vector"])
+    tracemalloc.start()
+    found = [r for b in held.run(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and len(found) == 60_000
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for q in range(0, 20_000, 997):
+        near = unit @ np.array([np.cos(q / 7), np.sin(q / 7)])
+        assert sorted((-round(r["score"], 9), r["id"]) for r in found if r["request_id"] == q) == sorted((-round(near[i], 9), i) for i in range(2000))[:3]
+
+
+def test_equal_vectors_rank_by_id(spark):
+    rng = np.random.default_rng(7)
+    m = np.repeat(rng.normal(size=(7, 64)), 41, axis=0)
+    data = vectors(spark, [(i, v.tolist()) for i, v in enumerate(m)])
+    asked = data.where("id % 41 = 3").withColumnRenamed("id", "request_id")
+    for r in retrieval.batch_top_k(data, asked, 5).collect():
+        assert r.id == r.request_id - 3 + r["rank"] - 1
+
+
 def test_all_pairs_in_blocks(spark):
     rng = np.random.default_rng(4)
     m = rng.normal(size=(60, 5))
