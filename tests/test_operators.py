@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spindrel.functions import vector as V
 from spindrel.operators import action, colony, graph, histogram, immune, lifecycle, memory_kernel, pheromone, regulation, retrieval
 from spindrel.plans import pipeline
+from spindrel.registry import queries
 from spindrel.sources import storage
 
 
@@ -83,6 +84,21 @@ def test_equal_vectors_rank_by_id(spark):
         assert r.id == r.request_id - 3 + r["rank"] - 1
 
 
+def test_distances_without_a_join(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4 + i % 2).tolist()) for i in range(40)] + [(90, []), (91, None)]
+    data = vectors(spark, rows)
+    found = {(r.request_id, r.id): r.distance for r in retrieval.batch_distances(data, data.where("id % 7 = 0").withColumnRenamed("id", "request_id")).collect()}
+    known = {i: np.array(v) for i, v in rows if v}
+    assert found == pytest.approx({(a, b): float(np.linalg.norm(known[a] - known[b])) for a in known if a % 7 == 0 for b in known if len(known[a]) == len(known[b])})
+
+
+def test_l2_pairs_is_no_join(spark, sf):
+    """A join by the dimension alone is one key, hence one task."""
+    plan = queries()["vec_l2_pairs"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_all_pairs_in_blocks(spark):
     rng = np.random.default_rng(4)
     m = rng.normal(size=(60, 5))
