@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrel.operators import retrieval
+from spindrel.sources.storage import cut
+
 _MASK = (1 << 64) - 1
 MAX_GRAPH_ROWS = 2_000_000
 
@@ -145,37 +148,44 @@ def index_search(data: DataFrame, edges: DataFrame, queries: DataFrame, k: int,
     Ant i of a request starts at the node that the first draw of seed + i picks; a step weighs
     1 / (1 + distance) (``invert``: distance itself); each ant brings its best cosine.
     """
-    rows = data.orderBy("id").limit(MAX_GRAPH_ROWS + 1).collect()
-    if len(rows) > MAX_GRAPH_ROWS // 10:
-        raise ValueError("the index is too large to send along")
-    links: dict[int, list] = defaultdict(list)
-    for r in edges.limit(MAX_GRAPH_ROWS + 1).collect():
-        links[r["src"]].append((r["dst"], r["distance"], r["pheromone"]))
-        links[r["dst"]].append((r["src"], r["distance"], r["pheromone"]))
-    ids = [r["id"] for r in rows]
-    matrix = np.array([r["vector"] for r in rows], float)
-    matrix /= np.maximum(np.sqrt((matrix**2).sum(1, keepdims=True)), 1e-300)
-    sent = data.sparkSession.sparkContext.broadcast((ids, matrix, {n: sorted(x) for n, x in links.items()}))
+    draws = [Uniform(seed + ant) for ant in range(ants)]
+    walks = [[x] for x in _ids_at(data, [draw() for draw in draws])]
+    # Walks do not depend on the request.  Only the entries of the nodes where the ants are get read.
+    links = cut(edges.select("src", "dst", "distance", "pheromone"))
+    going = list(range(len(walks)))
+    for _ in range(steps - 1):
+        here = [(ant, walks[ant][-1], walks[ant], draws[ant]()) for ant in going]
+        if not here:
+            break
+        nodes = list({x[1] for x in here})
+        near = links.where(F.col("src").isin(nodes) | F.col("dst").isin(nodes))
+        both = near.select(F.explode(F.array(*[F.struct(F.col(a).alias("node"), F.col(b).alias("to")) for a, b in (("src", "dst"), ("dst", "src"))])).alias("x"), "distance", "pheromone").select("x.*", "distance", "pheromone")
+        at = F.broadcast(data.sparkSession.createDataFrame(here, "ant int, node bigint, path array<bigint>, u double"))
+        open_ = both.join(at, "node").where(~F.array_contains("path", F.col("to"))).select("ant", "to", "distance", "pheromone", "u")
+
+        def choose(group):
+            to, d, p = (group.column(c).to_numpy() for c in ("to", "distance", "pheromone"))
+            order = np.lexsort((p, d, to))
+            to, d, p = to[order], d[order], p[order]
+            sums = np.cumsum(p**alpha * (d if invert else 1 / (1 + d)) ** beta)
+            place = min(int(np.searchsorted(sums, group.column("u")[0].as_py() * sums[-1])), len(to) - 1)
+            return pa.table({"ant": group.column("ant")[:1], "to": pa.array(to[place : place + 1])})
+
+        moved = {r["ant"]: r["to"] for r in open_.groupBy("ant").applyInArrow(choose, "ant int, to bigint").collect()}
+        for ant, to in moved.items():
+            walks[ant] = [*walks[ant], to]
+        going = sorted(moved)
+    rows = data.where(F.col("id").isin(list({x for path in walks for x in path}))).collect()
+    sent = data.sparkSession.sparkContext.broadcast((walks, {r["id"]: i for i, r in enumerate(rows)}, np.array([r["vector"] for r in rows], float)))
 
     def run(batches):
-        ids, matrix, links = sent.value
-        place = {x: i for i, x in enumerate(ids)}
+        walks, place, matrix = sent.value
         for batch in batches:
             out = []
             for request, vector in zip(batch.column("request_id").to_pylist(), batch.column("vector").to_pylist()):
-                q = np.array(vector, float)
-                near = matrix @ (q / max(np.sqrt((q**2).sum()), 1e-300))
+                near = retrieval.cosines(matrix, np.broadcast_to(np.array(vector, float), matrix.shape)) if walks else []
                 best: dict[int, float] = {}
-                for ant in range(ants if ids else 0):
-                    draw = Uniform(seed + ant)
-                    path = [ids[min(int(draw() * len(ids)), len(ids) - 1)]]
-                    while len(path) < steps:
-                        open_ = [x for x in links.get(path[-1], ()) if x[0] not in path]
-                        if not open_:
-                            break
-                        scores = [p**alpha * (d if invert else 1 / (1 + d)) ** beta for _, d, p in open_]
-                        at = int(np.searchsorted(np.cumsum(scores), draw() * sum(scores)))
-                        path.append(open_[min(at, len(open_) - 1)][0])
+                for path in walks:
                     node = max(path, key=lambda x: (near[place[x]], -x))
                     best[node] = float(near[place[node]])
                 out += [(request, i + 1, n, s) for i, (n, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k])]
@@ -185,6 +195,23 @@ def index_search(data: DataFrame, edges: DataFrame, queries: DataFrame, k: int,
     return queries.select("request_id", "vector").mapInArrow(run, "request_id bigint, rank int, id bigint, score double")
 
 
+def _ids_at(data: DataFrame, shares: list[float]) -> list[int]:
+    """The ids at these shares (0 to 1) of all ids in order; none without rows."""
+    placed = cut(data.select("id").orderBy("id").select("id", F.monotonically_increasing_id().alias("place")))
+    # A place is a partition, in the upper bits, and a row of it.
+    parts = sorted(tuple(r) for r in placed.groupBy(F.shiftright("place", 33)).count().collect())
+    ends = np.cumsum([n for _, n in parts])
+    if not parts:
+        return []
+    places = []
+    for share in shares:
+        rank = min(int(share * ends[-1]), int(ends[-1]) - 1)
+        i = int(np.searchsorted(ends, rank, side="right"))
+        places.append((parts[i][0] << 33) + rank - int(ends[i]) + parts[i][1])
+    found = {r["place"]: r["id"] for r in placed.where(F.col("place").isin(places)).collect()}
+    return [found[x] for x in places]
+
+
 def uniform_sequence(spark: SparkSession, seeds: int, n: int) -> DataFrame:
     """(seed, i, u): the first n numbers of seeds 0 ... seeds - 1."""
 

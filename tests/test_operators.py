@@ -207,6 +207,32 @@ def test_uniform():
     assert [draw() for _ in range(3)] == pytest.approx([0.9816470927459511, 0.3702714420556768, 0.40735701052495726], abs=1e-15)
 
 
+def test_index_search_like_plain_walks(spark, monkeypatch):
+    """Neither vectors nor links are gathered, so no size refuses them or cuts them off."""
+    monkeypatch.setattr(colony, "MAX_GRAPH_ROWS", 50)
+    rng = np.random.default_rng(9)
+    m = {3 * i: rng.normal(size=4) for i in range(60)}
+    links = sorted({(max(a, b), min(a, b)) for a, b in rng.integers(0, 60, (150, 2)).tolist() if a != b})
+    edges = spark.createDataFrame([(3 * a, 3 * b, 0.1 + (a * b % 9) / 10, 1.0 + a % 3) for a, b in links], "src bigint, dst bigint, distance double, pheromone double")
+    data = vectors(spark, [(i, v.tolist()) for i, v in m.items()])
+    found = colony.index_search(data, edges, data.where("id < 12").withColumnRenamed("id", "request_id"), 4, ants=5, steps=6).collect()
+    paths = []
+    for ant in range(5):
+        draw = colony.Uniform(42 + ant)
+        path = [3 * int(draw() * 60)]
+        while len(path) < 6:
+            ends = sorted((y, d, p) for a, b, d, p in edges.collect() for x, y in ((a, b), (b, a)) if x == path[-1] and y not in path)
+            if not ends:
+                break
+            sums = np.cumsum([p / (1 + d) ** 2 for _, d, p in ends])
+            path.append(ends[int(np.searchsorted(sums, draw() * sums[-1]))][0])
+        paths.append(path)
+    cos = lambda a, b: float(m[a] @ m[b] / np.linalg.norm(m[a]) / np.linalg.norm(m[b]))
+    for q in range(0, 12, 3):
+        best = {max(path, key=lambda x: cos(q, x)) for path in paths}
+        assert [r.id for r in sorted(found, key=lambda r: r["rank"]) if r.request_id == q] == sorted(best, key=lambda x: -cos(q, x))[:4]
+
+
 def test_classifier(spark):
     own = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.5, 0.5])], "pattern_idx int, vector array<double>")
     found = {r.id: r for r in immune.classify(vectors(spark, [(1, [1.0, 0.05]), (2, [-1.0, -1.0]), (3, [1.0])]), own).collect()}
