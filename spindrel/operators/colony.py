@@ -1,13 +1,15 @@
 """Ant walks over a weighted graph, with reproducible random numbers.
 
 A colony is a sequential process from one start; many starts run in parallel, one group each.
-The graph given to the walks is sent to every task after its size has been checked.
+A graph of up to ``MAX_GRAPH_ROWS`` entries is sent to every task.  A larger one stays where it
+is: its nodes' entries are written as one row each, and all ants of all starts take a step at a
+time, where the entries of the nodes they are at lie.  Both give the same walks.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from spindrel.sources.storage import cut
 
 _MASK = (1 << 64) - 1
 MAX_GRAPH_ROWS = 2_000_000
+#: Ants on their way are sent to the graph's rows up to so many bytes; more of them are joined.
+MAX_ANT_BYTES = 64 << 20
 
 
 class Uniform:
@@ -54,65 +58,218 @@ class Settings:
     tau_max: float = 10.0
 
 
-Adjacency = dict[int, list[tuple[int, float]]]
+class Graph:
+    """Each node's entries in the order of ``adj_pos``, as flat arrays."""
+
+    def __init__(self, src, dst, weight, adj_pos):
+        order = np.lexsort((dst, adj_pos, src))
+        self.nodes, self.at = np.unique(src[order], return_index=True)
+        self.dst, self.weight = dst[order], weight[order]
+
+    def get(self, node: int, default=()):
+        i = int(np.searchsorted(self.nodes, node))
+        if i == len(self.nodes) or self.nodes[i] != node:
+            return default
+        own = slice(self.at[i], self.at[i + 1] if i + 1 < len(self.at) else None)
+        return self.dst[own], self.weight[own]
+
+
+Adjacency = dict[int, list[tuple[int, float]]] | Graph
+
+
+def step(path: list[int], to: np.ndarray, w: np.ndarray, level: dict, alpha: float, beta: float, draw: Uniform) -> tuple[int, float] | None:
+    """One of the ends that the path has not met, by a roulette over level ** alpha * (1 / weight) ** beta."""
+    new = ~(to[:, None] == np.array(path)).any(1)
+    to, w = to[new], w[new]
+    tau = np.ones(len(to))
+    for (src, dst), x in level.items():
+        if src == path[-1]:
+            tau[to == dst] = x
+    sums = np.cumsum(tau**alpha * np.divide(1, w, out=np.ones(len(w)), where=w > 0) ** beta)
+    if not len(to) or not sums[-1]:
+        return None
+    at = min(int(np.searchsorted(sums, draw() * sums[-1])), len(to) - 1)
+    return int(to[at]), float(w[at])
 
 
 def walk(start: int, graph: Adjacency, level: dict, alpha: float, beta: float, max_steps: int, draw: Uniform) -> tuple[list[int], float]:
-    """A path without revisits: each step a roulette over level ** alpha * (1 / weight) ** beta."""
+    """A path without revisits, and its cost."""
     path, cost = [start], 0.0
-    while len(path) < max_steps:
-        open_ = [(to, w) for to, w in graph.get(path[-1], ()) if to not in path]
-        scores = [level.get((path[-1], to), 1.0) ** alpha * (1 / w if w > 0 else 1.0) ** beta for to, w in open_]
-        if not open_ or not (total := sum(scores)):
+    while len(path) < max_steps and len(entries := graph.get(path[-1], ())):
+        to, w = entries if isinstance(graph, Graph) else map(np.array, zip(*entries))
+        if not (found := step(path, to, np.asarray(w, float), level, alpha, beta, draw)):
             break
-        at = int(np.searchsorted(np.cumsum(scores), draw() * total))
-        to, w = open_[min(at, len(open_) - 1)]
-        path.append(to)
-        cost += w
+        path.append(found[0])
+        cost += found[1]
     return path, cost
 
 
-def explore(start: int, graph: Adjacency, level: dict, s: Settings, seed: int):
-    """Each ant's (path, cost, alpha, beta); ants differ in how they weigh level and length."""
-    for ant in range(s.ants):
-        scale = 0.8 + 0.4 * (ant / max(s.ants, 1))
-        yield *walk(start, graph, level, s.alpha * scale, s.beta * scale, s.max_steps, Uniform(seed + ant & _MASK)), s.alpha * scale, s.beta * scale
+def _weighings(s: Settings) -> list[tuple[float, float]]:
+    """(alpha, beta) of each ant; ants differ in how they weigh level and length."""
+    scales = [0.8 + 0.4 * (ant / max(s.ants, 1)) for ant in range(s.ants)]
+    return [(s.alpha * x, s.beta * x) for x in scales]
 
 
-def colony(start: int, graph: Adjacency, s: Settings) -> dict:
-    """The best path found, and how the search went."""
-    level: dict[tuple[int, int], float] = {}
-    best, best_cost, stale, costs, converged, done = [], float("inf"), 0, [], False, 0
-    for done in range(1, s.iterations + 1):
-        path, cost, *_ = min(explore(start, graph, level, s, 41 + done), key=lambda x: x[1])
-        costs.append(cost)
+def explore(start: int, graph: Adjacency, level: dict, s: Settings, seed: int):
+    """Each ant's (path, cost, alpha, beta)."""
+    for ant, (alpha, beta) in enumerate(_weighings(s)):
+        yield *walk(start, graph, level, alpha, beta, s.max_steps, Uniform(seed + ant & _MASK)), alpha, beta
+
+
+@dataclass
+class Search:
+    """How a colony's search stands."""
+
+    path: list[int] = field(default_factory=list)
+    cost: float = float("inf")
+    stale: int = 0
+    iterations: int = 0
+    converged: bool = False
+    progression: list[float] = field(default_factory=list)
+    levels: dict[tuple[int, int], float] = field(default_factory=dict)
+
+    def after(self, path: list[int], cost: float, s: Settings) -> Search:
+        """After one more round, whose best path is given."""
+        costs, best, best_cost, stale = [*self.progression, cost], self.path, self.cost, self.stale
         stale = 0 if cost < best_cost else stale + 1
         if cost < best_cost:
             best, best_cost = path, cost
+        level = dict(self.levels)
         if best_cost > 0:
             for pair in zip(best, best[1:]):
                 level[pair] = min(max(level.get(pair, 1.0) + s.q / best_cost, s.tau_min), s.tau_max)
         level = {pair: max(s.tau_min, x * (1 - s.rho)) for pair, x in level.items()}
         converged = len(costs[-s.window :]) >= 3 and float(np.var(costs[-s.window :])) < s.variance or stale >= s.window
-        if converged:
-            break
-    return {"path": best, "cost": best_cost if best else 0.0, "iterations": done, "converged": converged, "used_fallback": not converged, "progression": costs, "levels": level}
+        return Search(best, best_cost, stale, self.iterations + 1, converged, costs, level)
+
+
+def colony(start: int, graph: Adjacency, s: Settings) -> dict:
+    """The best path found, and how the search went."""
+    found = Search()
+    while found.iterations < s.iterations and not found.converged:
+        path, cost, *_ = min(explore(start, graph, found.levels, s, 42 + found.iterations), key=lambda x: x[1])
+        found = found.after(path, cost, s)
+    return asdict(found) | {"cost": found.cost if found.path else 0.0, "used_fallback": not found.converged}
+
+
+def adjacency(edges: DataFrame) -> Graph | None:
+    """The graph (src, dst, weight, adj_pos) on the driver; None beyond ``MAX_GRAPH_ROWS``."""
+    if edges.count() > MAX_GRAPH_ROWS:
+        return None
+    rows = edges.select("src", "dst", F.col("weight").cast("double"), "adj_pos").toArrow()
+    return Graph(*[rows.column(c).to_numpy() for c in ("src", "dst", "weight", "adj_pos")])
+
+
+# --- graphs that are not sent along --------------------------------------------------------
+
+def _lists(edges: DataFrame) -> DataFrame:
+    """(node, ends, weights), written: each node's entries in order, as bytes."""
+    dealt = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"), "adj_pos").repartition("src").sortWithinPartitions("src", "adj_pos", "dst")
 
+    def rows(nodes, ends, weights):
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(ends, pa.binary()), pa.array(weights, pa.binary())], names=["node", "ends", "weights"])
 
-def adjacency(edges: DataFrame) -> Adjacency:
-    """The graph (src, dst, weight, adj_pos) on the driver; refused beyond ``MAX_GRAPH_ROWS``."""
-    rows = edges.select("src", "dst", "weight", "adj_pos").limit(MAX_GRAPH_ROWS + 1).collect()
-    if len(rows) > MAX_GRAPH_ROWS:
-        raise ValueError("the graph is too large to send along")
-    out: Adjacency = defaultdict(list)
-    for r in sorted(rows, key=lambda r: (r["src"], r["adj_pos"])):
-        out[r["src"]].append((r["dst"], r["weight"]))
-    return dict(out)
+    def run(batches):
+        node, ends, weights = None, [], []  # the one whose entries may go on in the next batch
+        for batch in batches:
+            src, dst, w = (batch.column(c).to_numpy() for c in ("src", "dst", "weight"))
+            cuts = [0, *(np.flatnonzero(np.diff(src)) + 1).tolist(), len(src)]
+            whole = []
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if src[a] != node:
+                    if node is not None:
+                        whole.append((node, b"".join(ends), b"".join(weights)))
+                    node, ends, weights = int(src[a]), [], []
+                ends.append(dst[a:b].tobytes())
+                weights.append(w[a:b].tobytes())
+            if whole:
+                yield rows(*zip(*whole))
+        if node is not None:
+            yield rows([node], [b"".join(ends)], [b"".join(weights)])
+
+    return cut(dealt.mapInArrow(run, "node bigint, ends binary, weights binary"))
+
+
+_LEVELS = "array<struct<src:bigint,dst:bigint,level:double>>"
+_ANT = f"start bigint, ant int, alpha double, beta double, levels {_LEVELS}, state bigint, path array<bigint>, cost double"
+_SEARCH = f"start bigint, path array<bigint>, cost double, stale int, iterations int, converged boolean, progression array<double>, levels {_LEVELS}"
+
+
+def _arrow(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def _steps(searches: DataFrame, lists: DataFrame, s: Settings, seed: int) -> DataFrame:
+    """(start, ant, alpha, beta, path, cost): the ants of one round from (start, levels)."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    made = F.array(*[F.struct(F.lit(i).alias("ant"), F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(signed(Uniform(seed + i & _MASK).state)).cast("bigint").alias("state")) for i, (a, b) in enumerate(_weighings(s))])
+    ants = searches.select("start", "levels", F.explode(made).alias("x")).select("start", "x.ant", "x.alpha", "x.beta", "levels", "x.state", F.array("start").alias("path"), F.lit(0.0).alias("cost"))
+    kind = _arrow(_ANT)
+
+    def run(batches):
+        for batch in batches:
+            ends, weights = batch.column("ends"), batch.column("weights")
+            out = []
+            for i, ant in enumerate(batch.select(kind.names).to_pylist()):
+                draw = Uniform(0)
+                draw.state = ant["state"] & _MASK
+                level = {(x["src"], x["dst"]): x["level"] for x in ant["levels"]}
+                found = step(ant["path"], np.frombuffer(ends[i].as_buffer(), np.int64), np.frombuffer(weights[i].as_buffer()), level, ant["alpha"], ant["beta"], draw)
+                if found:
+                    out.append(ant | {"path": [*ant["path"], found[0]], "cost": ant["cost"] + found[1], "state": draw.state - (1 << 64) if draw.state >> 63 else draw.state})
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    walked = [now := cut(ants)]
+    while len(walked) < s.max_steps and (n := now.count()):
+        here = now.withColumn("node", F.element_at("path", -1))
+        small = n * (200 + (8 + 24 * s.iterations) * s.max_steps) <= MAX_ANT_BYTES
+        walked.append(now := cut(lists.join(F.broadcast(here) if small else here, "node").drop("node").mapInArrow(run, _ANT)))
+    # An ant that could not go on is in no later table.
+    every = reduce(DataFrame.unionByName, walked).withColumn("size", F.size("path"))
+    return every.groupBy("start", "ant").agg(F.max_by(F.struct("alpha", "beta", "path", "cost"), "size").alias("x")).select("start", "ant", "x.*")
+
+
+def _searches(starts: DataFrame, lists: DataFrame, s: Settings) -> DataFrame:
+    """:func:`colony` from each start, all of them a round at a time."""
+    kind = _arrow(_SEARCH)
+
+    def row(start: int, x: Search) -> dict:
+        return {"start": start, **asdict(x), "levels": [{"src": a, "dst": b, "level": v} for (a, b), v in x.levels.items()]}
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                best = min(r.pop("ants"), key=lambda x: (x["cost"], x["ant"]))
+                start, levels = r.pop("start"), {(x["src"], x["dst"]): x["level"] for x in r.pop("levels")}
+                out.append(row(start, Search(**r, levels=levels).after(best["path"], best["cost"], s)))
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    none = Search()
+    new = [F.array().cast("array<bigint>").alias("path"), F.lit(none.cost).alias("cost"), F.lit(0).alias("stale"), F.lit(0).alias("iterations"), F.lit(False).alias("converged"), F.array().cast("array<double>").alias("progression"), F.array().cast(_LEVELS).alias("levels")]
+    going, ended = cut(starts.select("start").distinct().select("start", *new)), []
+    for i in range(s.iterations):
+        ants = _steps(going, lists, s, 42 + i).groupBy("start").agg(F.collect_list(F.struct("ant", "path", "cost")).alias("ants"))
+        now = cut(going.join(ants, "start").mapInArrow(run, _SEARCH))
+        ended.append(now.where("converged") if i + 1 < s.iterations else now)
+        going = now.where("not converged")
+        if going.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, ended) if ended else going
 
 
 def best_paths(starts: DataFrame, edges: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(start, path, cost, iterations, converged, used_fallback) for each start, in parallel."""
-    sent = starts.sparkSession.sparkContext.broadcast(adjacency(edges))
+    graph = adjacency(edges)
+    if graph is None:
+        found = _searches(starts, _lists(edges), s)
+        return starts.select("start").join(found, "start").select("start", "path", "cost", "iterations", "converged", (~F.col("converged")).alias("used_fallback"))
+    sent = starts.sparkSession.sparkContext.broadcast(graph)
 
     def run(batches):
         for batch in batches:
@@ -125,7 +282,11 @@ def best_paths(starts: DataFrame, edges: DataFrame, s: Settings = Settings()) ->
 
 def explore_all(starts: DataFrame, edges: DataFrame, s: Settings = Settings(), seed: int = 42) -> DataFrame:
     """(start, ant_id, path, cost, alpha, beta): one round of ants from each start."""
-    sent = starts.sparkSession.sparkContext.broadcast(adjacency(edges))
+    graph = adjacency(edges)
+    if graph is None:
+        fresh = starts.select("start").distinct().withColumn("levels", F.array().cast(_LEVELS))
+        return starts.select("start").join(_steps(fresh, _lists(edges), s, seed), "start").select("start", F.col("ant").alias("ant_id"), "path", "cost", "alpha", "beta")
+    sent = starts.sparkSession.sparkContext.broadcast(graph)
 
     def run(batches):
         for batch in batches:

@@ -233,6 +233,23 @@ def test_index_search_like_plain_walks(spark, monkeypatch):
         assert [r.id for r in sorted(found, key=lambda r: r["rank"]) if r.request_id == q] == sorted(best, key=lambda x: -cos(q, x))[:4]
 
 
+@pytest.mark.parametrize("search", ["explore_all", "best_paths"])
+def test_graph_too_large_to_send(spark, monkeypatch, search):
+    """Step by step over the graph's own rows: the same walks; a hub's entries span batches."""
+    rng = np.random.default_rng(10)
+    ends = {(0, int(x)) for x in range(1, 30)} | {tuple(x) for x in rng.integers(0, 30, (90, 2)).tolist() if x[0] != x[1] and x[0] != 7}
+    edges = spark.createDataFrame([(a, b, 0.2 + (a * 7 + b) % 11, b) for a, b in ends], "src bigint, dst bigint, weight double, adj_pos bigint")
+    starts = spark.createDataFrame([(0,), (7,), (5,), (5,), (99,)], "start bigint")
+    run = lambda: sorted(map(repr, getattr(colony, search)(starts, edges, colony.Settings(ants=3, iterations=4, max_steps=5)).collect()))
+    sent = run()
+    monkeypatch.setattr(colony, "MAX_GRAPH_ROWS", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert run() == sent and len(sent) == (15 if search == "explore_all" else 5)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_classifier(spark):
     own = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.5, 0.5])], "pattern_idx int, vector array<double>")
     found = {r.id: r for r in immune.classify(vectors(spark, [(1, [1.0, 0.05]), (2, [-1.0, -1.0]), (3, [1.0])]), own).collect()}
