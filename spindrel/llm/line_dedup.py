@@ -37,8 +37,8 @@ SHINGLE, STRETCH = 12, 16
 BANDS, ROWS = 5, 2
 #: Lines of a band that are compared at once, and lines of a larger band in a block.
 SMALL, BLOCK = 32, 2048
-#: Of a large band: hashes compared first, and the share of them that must agree.
-SKETCH, NEAR = 64, 0.75
+#: Of a large band: the least hashes of a line that are compared first.
+SKETCH = 64
 _BLANK = " \t\n\x0b\x0c\r"
 #: One mask a signature value: the least of ``hash ^ mask`` is a random choice of its own.
 _MASKS = [int(x) for x in np.random.default_rng(5).integers(-(1 << 31), 1 << 31, BANDS * ROWS)]
@@ -126,14 +126,25 @@ def _sizes(threshold: float) -> Column:
     return (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
 
 
+def _possible(threshold: float) -> Column:
+    """Whether the least hashes (sketch_a, sketch_b) leave open that sets of n_a and n_b are similar.
+
+    The sketch that ends first lies within the range of the other, so what it has alone the other
+    set has not; of similar sets x and y, x has at most (n_x - threshold n_y) / (1 + threshold) alone.
+    """
+    common = F.size(F.array_intersect("sketch_a", "sketch_b"))
+    end = lambda x: F.when(F.col(f"n_{x}") > SKETCH, F.element_at(f"sketch_{x}", -1)).otherwise(F.lit((1 << 63) - 1))
+    open_ = lambda x, y: F.size(f"sketch_{x}") - common <= (F.col(f"n_{x}") - threshold * F.col(f"n_{y}")) / (1 + threshold) + 1e-6
+    return F.when(end("a") <= end("b"), open_("a", "b")).otherwise(open_("b", "a"))
+
+
 def _rest(buckets: DataFrame, texts: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """(a, b): the links within large bands that ``found`` does not connect.
 
     A band's lines are dealt to blocks; each pair of blocks is compared by itself, within the
     join, so that only links leave it.  Lines that share several large bands are compared in the
-    least of these.  Whole shingle sets are compared only if the ``SKETCH`` least hashes of both
-    agree nearly as much as those of similar lines do (at the threshold that misses one pair in
-    some thousand).
+    least of these.  Whole shingle sets are compared unless the ``SKETCH`` least hashes of both
+    already show that they cannot be similar; no link is lost by that.
     """
     large = buckets.where(F.col("k") > SMALL).select("line", "band", "k").join(texts.select("line", "node"), "line").drop("line")
     large = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -148,8 +159,7 @@ def _rest(buckets: DataFrame, texts: DataFrame, found: DataFrame, threshold: flo
     right = dealt.select("band", F.explode(F.sequence(F.lit(0), F.col("s"))).alias("i"), F.col("s").alias("j"), *side("b"))
     open_ = (F.col("component_a") != F.col("component_b")) & ((F.col("i") < F.col("j")) | (F.col("node_a") < F.col("node_b")))
     here = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")
-    near = F.size(F.array_intersect("sketch_a", "sketch_b")) >= NEAR * F.least(F.lit(SKETCH), "n_a", "n_b")
-    both = left.join(right, ["band", "i", "j"]).where(open_ & here & _sizes(threshold) & near & _similar(F.col("ring_a"), F.col("ring_b"), threshold))
+    both = left.join(right, ["band", "i", "j"]).where(open_ & here & _sizes(threshold) & _possible(threshold) & _similar(F.col("ring_a"), F.col("ring_b"), threshold))
     return both.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")).distinct()
 
 

@@ -348,6 +348,20 @@ def test_lines_of_a_large_band(spark, monkeypatch):
     assert {i for i in made if got[i]} == {i for i in made if want.get(i)} and sum(map(len, want.values())) == 200
 
 
+def test_sketches_lose_no_link(spark):
+    """200 hashes each, 180 in common, whose 64 least agree in 44: similar by 0.82."""
+    rng = np.random.default_rng(11)
+    pairs = [([*range(20), *range(100, 280)], [*range(50, 70), *range(100, 280)])]
+    for _ in range(300):
+        both = rng.choice(2000, int(rng.integers(20, 300)), replace=False).tolist()
+        cut = lambda: both[int(rng.integers(0, len(both) // 4)) :]
+        pairs.append((sorted(cut()), sorted({*cut(), *rng.integers(2000, 4000, int(rng.integers(0, 30))).tolist()})))
+    rows = [(a[:64], b[:64], len(a), len(b), len({*a} & {*b}) / len({*a} | {*b}) >= 0.8) for a, b in pairs] + [([*range(64)], [*range(500, 564)], 200, 200, False)]
+    df = spark.createDataFrame(rows, "sketch_a array<bigint>, sketch_b array<bigint>, n_a int, n_b int, similar boolean")
+    found = df.withColumn("possible", line_dedup._possible(0.8)).collect()
+    assert found[0].similar and all(r.possible for r in found if r.similar) and not found[-1].possible
+
+
 def test_lines_by_every_position(spark):
     """All positions count: unspaced lines with an early insertion, and spaced lines, by plain sets."""
     rng = random.Random(7)
