@@ -37,8 +37,9 @@ SHINGLE, STRETCH = 12, 16
 BANDS, ROWS = 5, 2
 #: Lines of a band that are compared at once, and lines of a larger band in a block.
 SMALL, BLOCK = 32, 2048
-#: Of a large band: the least hashes of a line that are compared first.
-SKETCH = 64
+#: Of a large band: the words of parities that are compared first, and then, of lines of over
+#: ``LONG`` shingles, the least hashes.
+WORDS, LONG, SKETCH = 16, 1024, 64
 _BLANK = " \t\n\x0b\x0c\r"
 #: One mask a signature value: the least of ``hash ^ mask`` is a random choice of its own.
 _MASKS = [int(x) for x in np.random.default_rng(5).integers(-(1 << 31), 1 << 31, BANDS * ROWS)]
@@ -138,31 +139,58 @@ def _possible(threshold: float) -> Column:
     return F.when(end("a") <= end("b"), open_("a", "b")).otherwise(open_("b", "a"))
 
 
+def _parities(nodes: DataFrame) -> DataFrame:
+    """(node, x0, ...): of the distinct shingles of ``units``, which of 64 * ``WORDS`` bins hold an odd number."""
+    each = nodes.select("node", F.explode(F.array_distinct(shingles(F.col("units")))).alias("h"))
+    bit = each.select("node", F.col("h").bitwiseAND(WORDS - 1).alias("word"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {WORDS.bit_length() - 1}) & 63))").alias("bit"))
+    return bit.groupBy("node").agg(*[F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"x{w}") for w in range(WORDS)])
+
+
+def _near(threshold: float) -> Column:
+    """Whether the parities (x0_a, x0_b, ...) leave open that sets of n_a and n_b are similar.
+
+    A bin of different parity holds a shingle that one set has alone; of similar sets at most
+    (n_a + n_b) (1 - threshold) / (1 + threshold) shingles are in one alone.
+    """
+    differ = sum((F.bit_count(F.col(f"x{w}_a").bitwiseXOR(F.col(f"x{w}_b"))) for w in range(1, WORDS)), F.bit_count(F.col("x0_a").bitwiseXOR(F.col("x0_b"))))
+    return differ <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+
+
 def _rest(buckets: DataFrame, texts: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """(a, b): the links within large bands that ``found`` does not connect.
 
     A band's lines are dealt to blocks; each pair of blocks is compared by itself, within the
     join, so that only links leave it.  Lines that share several large bands are compared in the
-    least of these.  Whole shingle sets are compared unless the ``SKETCH`` least hashes of both
-    already show that they cannot be similar; no link is lost by that.
+    least of these.  Whole shingle sets are compared unless the parities of both, or of long lines
+    the ``SKETCH`` least hashes, already show that they cannot be similar; no link is lost by that.
+    The sets are made from the lines where they are compared: they are several times as large, and
+    adaptive execution would split the join by their bytes, on both sides at once.
     """
     large = buckets.where(F.col("k") > SMALL).select("line", "band", "k").join(texts.select("line", "node"), "line").drop("line")
     large = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = large.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
     large = written(large.join(mixed, "band", "left_semi"), "line-large")
-    rings = texts.join(large.groupBy("node").agg(F.collect_set("band").alias("bands")), "node")
-    rings = rings.withColumn("ring", F.sort_array(F.array_distinct(shingles(F.col("units")))))
-    rings = written(rings.select("node", "n", "bands", F.slice("ring", 1, SKETCH).alias("sketch"), "ring"), "line-rings")
-    dealt = large.join(rings, "node").withColumn("m", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "sketch", "bands", "ring")]
+    lines = written(texts.drop("line").join(large.groupBy("node").agg(F.collect_set("band").alias("bands")), "node"), "line-texts-large")
+    sketch = F.when(F.col("n") > LONG, F.slice(F.sort_array(F.array_distinct(shingles(F.col("units")))), 1, SKETCH))
+    lines = lines.join(_parities(lines), "node").withColumn("sketch", sketch)
+    dealt = large.join(lines, "node").withColumn("m", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", *[f"x{w}" for w in range(WORDS)], "sketch", "bands", "units")]
     left = dealt.select("band", F.col("s").alias("i"), F.explode(F.sequence("s", F.col("m") - 1)).alias("j"), *side("a"))
     right = dealt.select("band", F.explode(F.sequence(F.lit(0), F.col("s"))).alias("i"), F.col("s").alias("j"), *side("b"))
     open_ = (F.col("component_a") != F.col("component_b")) & ((F.col("i") < F.col("j")) | (F.col("node_a") < F.col("node_b")))
     here = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")
-    both = left.join(right, ["band", "i", "j"]).where(open_ & here & _sizes(threshold) & _possible(threshold) & _similar(F.col("ring_a"), F.col("ring_b"), threshold))
+    long_ = F.col("sketch_a").isNull() | F.col("sketch_b").isNull() | _possible(threshold)
+    alike = _similar(shingles(F.col("units_a")), shingles(F.col("units_b")), threshold)
+    both = left.join(right, ["band", "i", "j"]).where(open_ & _sizes(threshold) & _near(threshold) & here & long_ & alike)
     return both.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")).distinct()
 
 
+def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """``found`` after ``more``, (node, component) of linked components, single nodes among them."""
+    moved = found.join(more.toDF("component", "least"), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    return moved.unionByName(more.join(found, "node", "left_anti"))
+
+
 def classes(docs: DataFrame, distinct: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """(line, component) of the lines that have a link; a link: shingle sets at least that similar."""
     buckets = written(_buckets(distinct), "line-buckets")
@@ -179,7 +207,7 @@ def classes(docs: DataFrame, distinct: DataFrame, *, threshold: float = 0.8) ->
     found = components(both.where(_sizes(threshold) & _similar(shingles(F.col("units_a")), shingles(F.col("units_b")), threshold)).select("a", "b"))
     if not buckets.where(F.col("k") > SMALL).isEmpty():
         more = written(_rest(buckets, texts, found, threshold), "line-links")
-        found = found if more.isEmpty() else components(found.toDF("a", "b").unionByName(more))
+        found = found if more.isEmpty() else _joined(found, components(more))
     return found.join(texts.select("line", "node"), "node").select("line", "component")
 
 

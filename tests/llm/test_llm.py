@@ -362,6 +362,41 @@ def test_sketches_lose_no_link(spark):
     assert found[0].similar and all(r.possible for r in found if r.similar) and not found[-1].possible
 
 
+def test_parities_lose_no_link(spark):
+    """Similar lines stay open whatever their length; lines half alike do not."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(200):
+        line = [rng.choice("abcdefghij klm") for _ in range(rng.choice((30, 200, 600, 3000)))]
+        other = list(line)
+        for _ in range(rng.randrange(1, 2 + len(line) // 60)):
+            other[rng.randrange(len(other))] = "#"
+        rows += [(2 * i, "".join(line)), (2 * i + 1, "".join(other))]
+    half = "".join(rng.choice("abcdefghij") for _ in range(260))
+    rows += [(400, half[:130] + "x" * 5 + half[130:200] * 2), (401, half[:130] + "y" * 5 + half[200:] * 2)]
+    nodes = spark.createDataFrame(rows, "node bigint, text string").withColumn("units", F.encode("text", "UTF-16BE"))
+    nodes = nodes.withColumn("n", F.size(F.array_distinct(line_dedup.shingles(F.col("units")))))
+    made = nodes.join(line_dedup._parities(nodes), "node")
+    side = lambda x: [F.floor(F.col("node") / 2).alias("pair"), *[F.col(c).alias(f"{c}_{x}") for c in made.columns]]
+    both = made.where("node % 2 = 0").select(*side("a")).join(made.where("node % 2 = 1").select(*side("b")), "pair")
+    got = {r.pair: r.near for r in both.select("pair", line_dedup._near(0.8).alias("near")).collect()}
+    texts = dict(rows)
+    sets = {i: (shingles_of(texts[2 * i]), shingles_of(texts[2 * i + 1])) for i in got}
+    similar = {i for i, (x, y) in sets.items() if len(x & y) >= 0.8 * len(x | y)}
+    assert len(got) == 201 and len(similar) > 50 and all(got[i] for i in similar) and not got[200]
+
+
+def test_large_bands_without_shingle_sets(spark, monkeypatch):
+    """What meets in a large band is lines, which are a fraction of their shingle sets."""
+    names, plain = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: names.append((name, df.columns)) or plain(df, name))
+    rng = random.Random(16)
+    head = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40))
+    rows = [(i, head + " " + " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(8))) for i in range(80)]
+    line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert "line-links" in [n for n, _ in names] and not any("ring" in columns for _, columns in names)
+
+
 def test_lines_by_every_position(spark):
     """All positions count: unspaced lines with an early insertion, and spaced lines, by plain sets."""
     rng = random.Random(7)
@@ -652,6 +687,20 @@ def test_components(spark):
     assert got == {x: root(x) for p in pairs if p[0] != p[1] for x in p}
 
 
+@pytest.mark.parametrize("step", [1, 997])
+def test_components_in_few_tables(spark, monkeypatch, step):
+    """A star ends after two rounds, a path, numbered in order or not, after few."""
+    names, plain = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: names.append(name) or plain(df, name))
+    star = [(5000, i) for i in range(2000, 2200)]
+    path = [(i * step % 1009, (i + 1) * step % 1009) for i in range(60)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(star + path, "a bigint, b bigint")).collect()}
+    assert got == {x: 2000 for p in star for x in p} | {x: 0 for p in path for x in p}
+    assert len(names) <= 40
+    names.clear()
+    assert components.components(spark.createDataFrame(star, "a bigint, b bigint")).count() == 201 and names.count("moved") <= 2
+
+
 def plain_counts(text):
     words = WORD.findall(text or "")
     windows = collections.Counter(zip(words, words[1:], words[2:]))
