@@ -14,9 +14,10 @@ similarity 0.8 shares a band with a chance of 0.994; banding is the approximate
 
 For speed a line is cut into stretches of ``STRETCH`` positions, one generated row each, whose
 hashes and minima are plain columns that compile; a hash aggregate takes the minima of a line.
-The text is read once for that, once more for the lines that share a band.  Lines count as equal
-by 128 bits of hash.  Equal lines are collapsed with map-side combining before anything else, so
-a line in a third of all documents is one row.
+The text is read once for the places of lines, once for the minima and once more for the lines that
+share a band; of it only the latter are moved, found by a bitmap of their hashes that is sent to all
+tasks.  Lines count as equal by 128 bits of hash.  Equal lines are collapsed with map-side
+combining before anything else, so a line in a third of all documents is one row.
 
 Edge cases: blank lines are no lines to compare and all stay; null and empty texts have no
 lines; wholly equal rows (id and text) count as one document and get one result each; ids may
@@ -26,6 +27,9 @@ of the input whatever their names, and drops documents that had lines and lose a
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,9 +41,14 @@ SHINGLE, STRETCH = 12, 16
 BANDS, ROWS = 5, 2
 #: Lines of a band that are compared at once, and lines of a larger band in a block.
 SMALL, BLOCK = 32, 2048
+#: Words of bins, of which all pairs are compared first.
+BINS = 32
 #: Of a large band: the words of parities that are compared first, and then, of lines of over
 #: ``LONG`` shingles, the least hashes.
 WORDS, LONG, SKETCH = 16, 1024, 64
+#: The bitmap of the lines to read again: bits a line, bits in a row, bits in all at most (64 MB;
+#: with more lines it lets more pass that the join behind it leaves out).
+MARKS, PAGE, MOST = 32, 1 << 13, 1 << 29
 _BLANK = " \t\n\x0b\x0c\r"
 #: One mask a signature value: the least of ``hash ^ mask`` is a random choice of its own.
 _MASKS = [int(x) for x in np.random.default_rng(5).integers(-(1 << 31), 1 << 31, BANDS * ROWS)]
@@ -57,7 +66,9 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _norm(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(_BLANK)))
+    # Trimming reads all of a line, so only lines with a blank at an end are trimmed.
+    ends = reduce(or_, [end for c in _BLANK for end in (line.startswith(c), line.endswith(c))])
+    return F.lower(F.when(ends, F.btrim(line, F.lit(_BLANK))).otherwise(line))
 
 
 def _units(norm: Column) -> Column:
@@ -84,38 +95,64 @@ def shingles(units: Column) -> Column:
     return F.transform(F.array(units), _ring)[0]
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """(k0, k1, k2, pos, h1, h2, b0, ...): the lines that are not blank, their hashes and bands."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """(k0, k1, k2, pos, norm, h1, h2): the lines that are not blank and their hashes."""
     lines = _keys(docs).select(*_DOC, F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(*_PLACE, _norm(F.col("line")).alias("norm")).where("norm <> ''")
-    cut = lines.select(*_PLACE, F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), _units(F.col("norm")).alias("units"))
+    return lines.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), "norm")})
+
+
+def _stretches(lines: DataFrame, known: list[str]) -> DataFrame:
+    """(known, at, s0, ...): the hashes of the shingles of ``norm``, ``STRETCH`` a row."""
+    cut = lines.select(*known, _units(F.col("norm")).alias("units"))
     cut = cut.withColumn("last", _last(F.col("units"))).withColumn("at", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2 * STRETCH))))
-    known = [*_PLACE, "h1", "h2"]
-    # Behind the last shingle it is taken again, which changes no minimum.
-    hashed = cut.select(*known, *[F.hash(_shingle(F.col("units"), F.least(F.col("at") + 2 * i, F.col("last")))).alias(f"s{i}") for i in range(STRETCH)])
-    least = hashed.select(*known, *[F.least(*[F.col(f"s{i}").bitwiseXOR(F.lit(mask)) for i in range(STRETCH)]).alias(f"m{r}") for r, mask in enumerate(_MASKS)])
-    signed = least.groupBy(*known).agg(*[F.min(f"m{r}").alias(f"m{r}") for r in range(len(_MASKS))])
-    return signed.select(*known, *[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)])
+    # Behind the last shingle it is taken again, which changes no minimum and no set.
+    return cut.select(*known, "at", *[F.hash(_shingle(F.col("units"), F.least(F.col("at") + 2 * i, F.col("last")))).alias(f"s{i}") for i in range(STRETCH)])
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """(h1, h2, n, b0, ...): one row per distinct line; n: how often it stands, its bands."""
+    hashed = _stretches(_lines(docs), ["h1", "h2"])
+    least = hashed.select("h1", "h2", "at", *[F.least(*[F.col(f"s{i}").bitwiseXOR(F.lit(mask)) for i in range(STRETCH)]).alias(f"m{r}") for r, mask in enumerate(_MASKS)])
+    begun = F.sum(F.when(F.col("at") == 1, F.lit(1)).otherwise(F.lit(0))).alias("n")
+    least = least.groupBy("h1", "h2").agg(begun, *[F.min(f"m{r}").alias(f"m{r}") for r in range(len(_MASKS))])
+    return least.select("h1", "h2", "n", *[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)])
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """(k0, k1, k2, pos, h1, h2, b0, ...): the lines that are not blank, their hashes and bands."""
+    return _lines(docs).drop("norm").join(signed(docs).drop("n"), ["h1", "h2"])
 
 
 def distinct_lines(found: DataFrame) -> DataFrame:
-    """(line, n, first, bands): one row per distinct line of ``places``; first: its first place."""
+    """(h1, h2, bands): one row per distinct line of ``places`` or ``signed``."""
     bands = [f"b{b}" for b in range(BANDS)]
-    each = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_PLACE)).alias("first"), *[F.first(b).alias(b) for b in bands])
-    return each.select(F.struct("h1", "h2").alias("line"), "n", "first", F.array_distinct(F.array(*bands)).alias("bands"))
+    return found.groupBy("h1", "h2").agg(*[F.first(b).alias(b) for b in bands]).select("h1", "h2", F.array_distinct(F.array(*bands)).alias("bands"))
 
 
 def _buckets(distinct: DataFrame) -> DataFrame:
-    """(line, band, k, others): lines of bands with k > 1; others: the lines to compare first.
+    """(node, band, k, others): lines of bands with k > 1; others: the lines to compare first.
 
     These are all earlier lines of a band of up to ``SMALL`` lines, and of a larger one the two
     before and the first.
     """
-    order = Window.partitionBy("band").orderBy("line")
-    every = distinct.select("line", F.explode("bands").alias("band"))
+    order = Window.partitionBy("band").orderBy("node")
+    every = distinct.select("node", F.explode(F.array_distinct(F.array(*[f"b{b}" for b in range(BANDS)]))).alias("band"))
     shared = every.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("k > 1")
-    shared = shared.withColumns({"before": F.collect_list("line").over(order.rowsBetween(1 - SMALL, -1)), "b0": F.first("line").over(order)})
-    chain = F.array_except(F.array_union(F.slice("before", F.greatest(F.size("before") - 1, F.lit(1)), 2), F.array("b0")), F.array("line"))
-    return shared.select("line", "band", "k", F.when(F.col("k") <= SMALL, F.col("before")).otherwise(chain).alias("others"))
+    shared = shared.withColumns({"before": F.collect_list("node").over(order.rowsBetween(1 - SMALL, -1)), "b0": F.first("node").over(order)})
+    chain = F.array_except(F.array_union(F.slice("before", F.greatest(F.size("before") - 1, F.lit(1)), 2), F.array("b0")), F.array("node"))
+    return shared.select("node", "band", "k", F.when(F.col("k") <= SMALL, F.col("before")).otherwise(chain).alias("others"))
+
+
+def _marked(lines: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """Of ``lines`` all that have an h1 of the ``n`` rows of ``wanted``, and few others."""
+    bits = PAGE * max(1, min(MARKS * n, MOST) // PAGE)
+    slot = F.pmod(F.col("h1"), F.lit(bits).cast("bigint"))
+    page, word, bit = F.floor(slot / PAGE), F.floor(slot % PAGE / 64).cast("int"), (slot % 64).cast("int")
+    set_ = wanted.select(page.alias("page"), word.alias("word"), bit.alias("bit")).groupBy("page", "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    pages = set_.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("set"))
+    pages = pages.select("page", F.transform(F.sequence(F.lit(0), F.lit(PAGE // 64 - 1)), lambda w: F.coalesce(F.col("set")[w], F.lit(0).cast("bigint"))).alias("words"))
+    here = (page == F.col("page")) & (F.getbit(F.get("words", word), bit) == 1)
+    return lines.join(F.broadcast(pages), here, "left_semi")
 
 
 def _similar(one: Column, two: Column, threshold: float) -> Column:
@@ -123,6 +160,20 @@ def _similar(one: Column, two: Column, threshold: float) -> Column:
     return F.exists(F.array(F.size(F.array_intersect(one, two))), lambda s: s >= threshold * (F.col("n_a") + F.col("n_b") - s))
 
 
+def _alike(one: Column, two: Column, threshold: float) -> Column:
+    """Whether two arrays of shingles, of n_a and n_b with repeats, are similar.
+
+    Where the sets would be similar even if nothing were repeated, their sizes need not be known.
+    """
+
+    def enough(p: Column) -> Column:
+        most = lambda s: s >= threshold * (F.col("n_a") + F.col("n_b") - s)
+        exact = lambda s: s >= threshold * (F.size(F.array_distinct(p[0])) + F.size(F.array_distinct(p[1])) - s)
+        return F.exists(F.array(F.size(F.array_intersect(p[0], p[1]))), lambda s: most(s) | exact(s))
+
+    return F.exists(F.array(F.array(one, two)), enough)
+
+
 def _sizes(threshold: float) -> Column:
     return (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
 
@@ -139,6 +190,18 @@ def _possible(threshold: float) -> Column:
     return F.when(end("a") <= end("b"), open_("a", "b")).otherwise(open_("b", "a"))
 
 
+def _bins(texts: DataFrame) -> DataFrame:
+    """(node, n, x0, ...): n: the positions of ``norm``; which of 64 * ``BINS`` bins hold a shingle.
+
+    Repeats change nothing, so no set is made; of very long lines most bins hold one.
+    """
+    lines = texts.withColumn("n", F.floor((_last(_units(F.col("norm"))) + 1) / 2).cast("int"))
+    each = _stretches(lines, ["node", "n"]).select("node", "n", F.explode(F.array(*[f"s{i}" for i in range(STRETCH)])).alias("h"))
+    words = each.select("node", "n", F.col("h").bitwiseAND(BINS - 1).alias("word"), F.expr(f"shiftleft(1L, shiftright(h, {BINS.bit_length() - 1}))").alias("bit"))
+    words = words.groupBy("node", "n", "word").agg(F.bit_or("bit").alias("bits"))
+    return words.groupBy("node", "n").agg(*[F.bit_or(F.when(F.col("word") == w, F.col("bits")).otherwise(F.lit(0).cast("bigint"))).alias(f"x{w}") for w in range(BINS)])
+
+
 def _parities(nodes: DataFrame) -> DataFrame:
     """(node, x0, ...): of the distinct shingles of ``units``, which of 64 * ``WORDS`` bins hold an odd number."""
     each = nodes.select("node", F.explode(F.array_distinct(shingles(F.col("units")))).alias("h"))
@@ -146,13 +209,13 @@ def _parities(nodes: DataFrame) -> DataFrame:
     return bit.groupBy("node").agg(*[F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"x{w}") for w in range(WORDS)])
 
 
-def _near(threshold: float) -> Column:
-    """Whether the parities (x0_a, x0_b, ...) leave open that sets of n_a and n_b are similar.
+def _near(threshold: float, words: int = WORDS) -> Column:
+    """Whether the parities or bins (x0_a, x0_b, ...) leave open that sets of n_a and n_b, or fewer, are similar.
 
-    A bin of different parity holds a shingle that one set has alone; of similar sets at most
-    (n_a + n_b) (1 - threshold) / (1 + threshold) shingles are in one alone.
+    A bin of different parity, or that one set has alone, holds a shingle that one set has alone;
+    of similar sets at most (n_a + n_b) (1 - threshold) / (1 + threshold) shingles are in one alone.
     """
-    differ = sum((F.bit_count(F.col(f"x{w}_a").bitwiseXOR(F.col(f"x{w}_b"))) for w in range(1, WORDS)), F.bit_count(F.col("x0_a").bitwiseXOR(F.col("x0_b"))))
+    differ = sum((F.bit_count(F.col(f"x{w}_a").bitwiseXOR(F.col(f"x{w}_b"))) for w in range(1, words)), F.bit_count(F.col("x0_a").bitwiseXOR(F.col("x0_b"))))
     return differ <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-6
 
 
@@ -166,11 +229,12 @@ def _rest(buckets: DataFrame, texts: DataFrame, found: DataFrame, threshold: flo
     The sets are made from the lines where they are compared: they are several times as large, and
     adaptive execution would split the join by their bytes, on both sides at once.
     """
-    large = buckets.where(F.col("k") > SMALL).select("line", "band", "k").join(texts.select("line", "node"), "line").drop("line")
+    large = buckets.where(F.col("k") > SMALL).select("node", "band", "k")
     large = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = large.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
     large = written(large.join(mixed, "band", "left_semi"), "line-large")
-    lines = written(texts.drop("line").join(large.groupBy("node").agg(F.collect_set("band").alias("bands")), "node"), "line-texts-large")
+    lines = texts.join(large.groupBy("node").agg(F.collect_set("band").alias("bands")), "node").select("node", "bands", _units(F.col("norm")).alias("units"))
+    lines = written(lines.withColumn("n", F.size(F.array_distinct(shingles(F.col("units"))))), "line-texts-large")
     sketch = F.when(F.col("n") > LONG, F.slice(F.sort_array(F.array_distinct(shingles(F.col("units")))), 1, SKETCH))
     lines = lines.join(_parities(lines), "node").withColumn("sketch", sketch)
     dealt = large.join(lines, "node").withColumn("m", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
@@ -192,53 +256,54 @@ def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, distinct: DataFrame, *, threshold: float = 0.8) -> DataFrame:
-    """(line, component) of the lines that have a link; a link: shingle sets at least that similar."""
+    """(node, component) of the lines that have a link; a link: shingle sets at least that similar."""
     buckets = written(_buckets(distinct), "line-buckets")
-    pairs = buckets.select("line", F.explode("others").alias("other")).distinct()
-    # The lines that share a band, read again from the documents that hold their first places.
-    wanted = distinct.select("line", "first.*").join(buckets.select("line").distinct(), "line", "left_semi")
-    wanted = wanted.groupBy(*_DOC).agg(F.map_from_entries(F.collect_list(F.struct("pos", "line"))).alias("wanted"))
-    texts = _keys(docs).join(wanted, _DOC).dropDuplicates(_DOC)
-    texts = texts.select("wanted", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("line", F.col("wanted")[F.col("pos")]).where("line is not null")
-    texts = texts.select("line", _units(_norm(F.col("text"))).alias("units"))
-    # Once written, the numbers of the lines are fixed.
-    texts = written(texts.select("line", F.monotonically_increasing_id().alias("node"), F.size(F.array_distinct(shingles(F.col("units")))).alias("n"), "units"), "line-texts")
-    both = pairs.join(texts.toDF("other", "b", "n_b", "units_b"), "other").join(texts.toDF("line", "a", "n_a", "units_a"), "line")
-    found = components(both.where(_sizes(threshold) & _similar(shingles(F.col("units_a")), shingles(F.col("units_b")), threshold)).select("a", "b"))
+    pairs = buckets.select(F.col("node").alias("a"), F.explode("others").alias("b")).distinct()
+    # The lines that share a band are read again.
+    wanted = written(distinct.select("h1", "h2", "node").join(buckets.select("node").distinct(), "node", "left_semi"), "line-wanted")
+    texts = _marked(_lines(docs).select("h1", "h2", "norm"), wanted, wanted.count()).groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
+    texts = written(texts.join(wanted, ["h1", "h2"]).select("node", "norm"), "line-texts")
+    bins = written(_bins(texts), "line-bins")
+    # Only lines whose bins leave it open that they are similar meet whole.
+    side = lambda x: bins.toDF(x, *[f"{c}_{x}" for c in bins.columns[1:]])
+    open_ = pairs.join(side("b"), "b").join(side("a"), "a").where(_near(threshold, BINS)).select("a", "b", "n_a", "n_b")
+    both = open_.join(texts.toDF("b", "norm_b"), "b").join(texts.toDF("a", "norm_a"), "a")
+    alike = _alike(shingles(_units(F.col("norm_a"))), shingles(_units(F.col("norm_b"))), threshold)
+    found = components(both.where(alike).select("a", "b"))
     if not buckets.where(F.col("k") > SMALL).isEmpty():
         more = written(_rest(buckets, texts, found, threshold), "line-links")
         found = found if more.isEmpty() else _joined(found, components(more))
-    return found.join(texts.select("line", "node"), "node").select("line", "component")
+    return found
 
 
-def _judged(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The places of all lines, and (k0, k1, k2, removed) of the documents that lose any."""
-    every = written(places(docs), "line-places")
-    distinct = written(distinct_lines(every), "lines")
+def _judged(docs: DataFrame, threshold: float) -> DataFrame:
+    """(k0, k1, k2, removed) of the documents that lose any line."""
+    every = written(_lines(docs).select(*_PLACE, "h1", "h2"), "line-places")
+    # Once written, the numbers of the lines are fixed.
+    distinct = written(signed(docs).withColumn("node", F.monotonically_increasing_id()), "lines")
     found = classes(docs, distinct, threshold=threshold)
-    classed = distinct.select("line", "n", "first").join(found, "line", "left")
-    linked = classed.where("component is not null")
-    firsts = linked.groupBy("component").agg(F.min("first").alias("stays"))
-    # Of each line that stands more than once, or that has a link, the place that stays.
-    stays = classed.where("component is null and n > 1").select("line", F.col("first").alias("stays")).unionByName(linked.join(firsts, "component").select("line", "stays"))
-    stays = written(stays.select("line.*", "stays"), "line-stays")
-    gone = every.select(*_PLACE, "h1", "h2").join(stays, ["h1", "h2"]).where(F.struct(*_PLACE) != F.col("stays"))
-    return every, gone.groupBy(*_DOC).agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    # The lines that stand more than once, or that have a link; of each class of them one place stays.
+    classed = distinct.select("node", "h1", "h2", "n").join(found, "node", "left").where("component is not null or n > 1")
+    kin = written(every.join(classed.select("h1", "h2", F.coalesce("component", "node").alias("class")), ["h1", "h2"]).select(*_PLACE, "class"), "line-kin")
+    stays = written(kin.groupBy("class").agg(F.min(F.struct(*_PLACE)).alias("stays")), "line-stays")
+    gone = kin.join(stays, "class").where(F.struct(*_PLACE) != F.col("stays"))
+    return gone.groupBy(*_DOC).agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
 def removed_lines(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """Per document: doc_id, n_lines (not blank), n_removed, removed (places of lines from 0)."""
-    every, removed = _judged(docs, threshold)
-    rows = docs.select("doc_id", *_doc_keys(docs))
-    found = rows.join(every.groupBy(*_DOC).agg(F.count(F.lit(1)).alias("n_lines")), _DOC, "left").join(removed, _DOC, "left")
-    return found.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    removed = _judged(docs, threshold)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.ltrim(x, F.lit(_BLANK)) != "")
+    rows = docs.select("doc_id", *_doc_keys(docs), F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("bigint").alias("n_lines"))
+    found = rows.join(removed, _DOC, "left")
+    return found.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def deduplicate(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """The documents without the lines that go; those that lose all their lines are dropped."""
     names = docs.columns
     safe = docs.toDF(*[c if c in ("doc_id", "text") else f"given {c}" for c in names])
-    _, removed = _judged(safe.select("doc_id", "text"), threshold)
+    removed = _judged(safe.select("doc_id", "text"), threshold)
     found = safe.select("*", *_doc_keys(safe)).join(removed, _DOC, "left")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i))
     found = found.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
