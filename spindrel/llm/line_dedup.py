@@ -14,9 +14,9 @@ similarity 0.8 shares a band with a chance of 0.994; banding is the approximate
 
 For speed a line is cut into stretches of ``STRETCH`` positions, one generated row each, whose
 hashes and minima are plain columns that compile; a hash aggregate takes the minima of a line.
-The text is read once for the places of lines, once for the minima and once more for the lines that
-share a band; of it only the latter are moved, found by a bitmap of their hashes that is sent to all
-tasks.  Lines count as equal by 128 bits of hash.  Equal lines are collapsed with map-side
+The text is read once for the minima and once more for the lines that share a band or stand more than
+once: these are found by a bitmap of their hashes that is sent to all tasks, and written with their
+places; of the text only lines that share a band are moved.  Lines count as equal by 128 bits of hash.  Equal lines are collapsed with map-side
 combining before anything else, so a line in a third of all documents is one row.
 
 Edge cases: blank lines are no lines to compare and all stay; null and empty texts have no
@@ -28,7 +28,7 @@ of the input whatever their names, and drops documents that had lines and lose a
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -160,18 +160,18 @@ def _similar(one: Column, two: Column, threshold: float) -> Column:
     return F.exists(F.array(F.size(F.array_intersect(one, two))), lambda s: s >= threshold * (F.col("n_a") + F.col("n_b") - s))
 
 
-def _alike(one: Column, two: Column, threshold: float) -> Column:
-    """Whether two arrays of shingles, of n_a and n_b with repeats, are similar.
+def _alike(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): of the pairs (a, b, n_a, n_b, norm_a, norm_b), n with repeats, those of similar sets.
 
     Where the sets would be similar even if nothing were repeated, their sizes need not be known.
+    What is generated is made once, whatever asks for it.
     """
-
-    def enough(p: Column) -> Column:
-        most = lambda s: s >= threshold * (F.col("n_a") + F.col("n_b") - s)
-        exact = lambda s: s >= threshold * (F.size(F.array_distinct(p[0])) + F.size(F.array_distinct(p[1])) - s)
-        return F.exists(F.array(F.size(F.array_intersect(p[0], p[1]))), lambda s: most(s) | exact(s))
-
-    return F.exists(F.array(F.array(one, two)), enough)
+    once = lambda df, value, name: df.select("*", F.explode(F.array(value)).alias(name))
+    both = once(pairs, F.struct(*[shingles(_units(F.col(f"norm_{x}"))).alias(x) for x in "ab"]), "sets").drop("norm_a", "norm_b")
+    both = once(both, F.size(F.array_intersect("sets.a", "sets.b")), "s")
+    enough = lambda size: F.col("s") >= threshold * (size - F.col("s"))
+    exact = F.size(F.array_distinct("sets.a")) + F.size(F.array_distinct("sets.b"))
+    return both.where(enough(F.col("n_a") + F.col("n_b")) | enough(exact)).select("a", "b")
 
 
 def _sizes(threshold: float) -> Column:
@@ -193,13 +193,15 @@ def _possible(threshold: float) -> Column:
 def _bins(texts: DataFrame) -> DataFrame:
     """(node, n, x0, ...): n: the positions of ``norm``; which of 64 * ``BINS`` bins hold a shingle.
 
-    Repeats change nothing, so no set is made; of very long lines most bins hold one.
+    Repeats change nothing, so no set is made; of very long lines most bins hold one.  A stretch's
+    bits are put together in compiled columns, so a position is no row of its own.
     """
     lines = texts.withColumn("n", F.floor((_last(_units(F.col("norm"))) + 1) / 2).cast("int"))
-    each = _stretches(lines, ["node", "n"]).select("node", "n", F.explode(F.array(*[f"s{i}" for i in range(STRETCH)])).alias("h"))
-    words = each.select("node", "n", F.col("h").bitwiseAND(BINS - 1).alias("word"), F.expr(f"shiftleft(1L, shiftright(h, {BINS.bit_length() - 1}))").alias("bit"))
-    words = words.groupBy("node", "n", "word").agg(F.bit_or("bit").alias("bits"))
-    return words.groupBy("node", "n").agg(*[F.bit_or(F.when(F.col("word") == w, F.col("bits")).otherwise(F.lit(0).cast("bigint"))).alias(f"x{w}") for w in range(BINS)])
+    each = _stretches(lines, ["node", "n"])
+    word = [F.col(f"s{i}").bitwiseAND(BINS - 1).alias(f"w{i}") for i in range(STRETCH)]
+    bit = [F.expr(f"shiftleft(1L, shiftright(s{i}, {BINS.bit_length() - 1}))").alias(f"t{i}") for i in range(STRETCH)]
+    held = lambda w: reduce(Column.bitwiseOR, [F.when(F.col(f"w{i}") == w, F.col(f"t{i}")).otherwise(F.lit(0).cast("bigint")) for i in range(STRETCH)])
+    return each.select("node", "n", *word, *bit).groupBy("node", "n").agg(*[F.bit_or(held(w)).alias(f"x{w}") for w in range(BINS)])
 
 
 def _parities(nodes: DataFrame) -> DataFrame:
@@ -209,23 +211,24 @@ def _parities(nodes: DataFrame) -> DataFrame:
     return bit.groupBy("node").agg(*[F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"x{w}") for w in range(WORDS)])
 
 
-def _near(threshold: float, words: int = WORDS) -> Column:
-    """Whether the parities or bins (x0_a, x0_b, ...) leave open that sets of n_a and n_b, or fewer, are similar.
+def _near(threshold: float, words: int = WORDS, x: str = "x") -> Column:
+    """Whether the parities or bins (x0_a, x0_b, ...; ``x`` names them) leave open that sets of n_a and n_b, or fewer, are similar.
 
     A bin of different parity, or that one set has alone, holds a shingle that one set has alone;
     of similar sets at most (n_a + n_b) (1 - threshold) / (1 + threshold) shingles are in one alone.
     """
-    differ = sum((F.bit_count(F.col(f"x{w}_a").bitwiseXOR(F.col(f"x{w}_b"))) for w in range(1, words)), F.bit_count(F.col("x0_a").bitwiseXOR(F.col("x0_b"))))
+    differ = reduce(add, [F.bit_count(F.col(f"{x}{w}_a").bitwiseXOR(F.col(f"{x}{w}_b"))) for w in range(words)])
     return differ <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-6
 
 
-def _rest(buckets: DataFrame, texts: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+def _rest(buckets: DataFrame, texts: DataFrame, bins: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """(a, b): the links within large bands that ``found`` does not connect.
 
     A band's lines are dealt to blocks; each pair of blocks is compared by itself, within the
     join, so that only links leave it.  Lines that share several large bands are compared in the
-    least of these.  Whole shingle sets are compared unless the parities of both, or of long lines
-    the ``SKETCH`` least hashes, already show that they cannot be similar; no link is lost by that.
+    least of these.  Whole shingle sets are compared unless the bins of both, or of long lines the
+    parities or the ``SKETCH`` least hashes, already show that they cannot be similar; no link is
+    lost by that.
     The sets are made from the lines where they are compared: they are several times as large, and
     adaptive execution would split the join by their bytes, on both sides at once.
     """
@@ -236,16 +239,17 @@ def _rest(buckets: DataFrame, texts: DataFrame, found: DataFrame, threshold: flo
     lines = texts.join(large.groupBy("node").agg(F.collect_set("band").alias("bands")), "node").select("node", "bands", _units(F.col("norm")).alias("units"))
     lines = written(lines.withColumn("n", F.size(F.array_distinct(shingles(F.col("units"))))), "line-texts-large")
     sketch = F.when(F.col("n") > LONG, F.slice(F.sort_array(F.array_distinct(shingles(F.col("units")))), 1, SKETCH))
-    lines = lines.join(_parities(lines), "node").withColumn("sketch", sketch)
+    odd = _parities(lines.where(F.col("n") > LONG))
+    lines = lines.join(bins.select("node", *[F.col(f"x{w}").alias(f"y{w}") for w in range(BINS)]), "node").join(odd, "node", "left").withColumn("sketch", sketch)
     dealt = large.join(lines, "node").withColumn("m", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", *[f"x{w}" for w in range(WORDS)], "sketch", "bands", "units")]
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", *[f"y{w}" for w in range(BINS)], *[f"x{w}" for w in range(WORDS)], "sketch", "bands", "units")]
     left = dealt.select("band", F.col("s").alias("i"), F.explode(F.sequence("s", F.col("m") - 1)).alias("j"), *side("a"))
     right = dealt.select("band", F.explode(F.sequence(F.lit(0), F.col("s"))).alias("i"), F.col("s").alias("j"), *side("b"))
     open_ = (F.col("component_a") != F.col("component_b")) & ((F.col("i") < F.col("j")) | (F.col("node_a") < F.col("node_b")))
     here = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")
-    long_ = F.col("sketch_a").isNull() | F.col("sketch_b").isNull() | _possible(threshold)
+    long_ = F.col("sketch_a").isNull() | F.col("sketch_b").isNull() | (_near(threshold) & _possible(threshold))
     alike = _similar(shingles(F.col("units_a")), shingles(F.col("units_b")), threshold)
-    both = left.join(right, ["band", "i", "j"]).where(open_ & _sizes(threshold) & _near(threshold) & here & long_ & alike)
+    both = left.join(right, ["band", "i", "j"]).where(open_ & _sizes(threshold) & _near(threshold, BINS, "y") & here & long_ & alike)
     return both.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")).distinct()
 
 
@@ -255,36 +259,38 @@ def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
     return moved.unionByName(more.join(found, "node", "left_anti"))
 
 
-def classes(docs: DataFrame, distinct: DataFrame, *, threshold: float = 0.8) -> DataFrame:
+def classes(buckets: DataFrame, texts: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """(node, component) of the lines that have a link; a link: shingle sets at least that similar."""
-    buckets = written(_buckets(distinct), "line-buckets")
     pairs = buckets.select(F.col("node").alias("a"), F.explode("others").alias("b")).distinct()
-    # The lines that share a band are read again.
-    wanted = written(distinct.select("h1", "h2", "node").join(buckets.select("node").distinct(), "node", "left_semi"), "line-wanted")
-    texts = _marked(_lines(docs).select("h1", "h2", "norm"), wanted, wanted.count()).groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
-    texts = written(texts.join(wanted, ["h1", "h2"]).select("node", "norm"), "line-texts")
     bins = written(_bins(texts), "line-bins")
     # Only lines whose bins leave it open that they are similar meet whole.
     side = lambda x: bins.toDF(x, *[f"{c}_{x}" for c in bins.columns[1:]])
     open_ = pairs.join(side("b"), "b").join(side("a"), "a").where(_near(threshold, BINS)).select("a", "b", "n_a", "n_b")
     both = open_.join(texts.toDF("b", "norm_b"), "b").join(texts.toDF("a", "norm_a"), "a")
-    alike = _alike(shingles(_units(F.col("norm_a"))), shingles(_units(F.col("norm_b"))), threshold)
-    found = components(both.where(alike).select("a", "b"))
+    found = components(_alike(both, threshold))
     if not buckets.where(F.col("k") > SMALL).isEmpty():
-        more = written(_rest(buckets, texts, found, threshold), "line-links")
+        more = written(_rest(buckets, texts, bins, found, threshold), "line-links")
         found = found if more.isEmpty() else _joined(found, components(more))
     return found
 
 
 def _judged(docs: DataFrame, threshold: float) -> DataFrame:
     """(k0, k1, k2, removed) of the documents that lose any line."""
-    every = written(_lines(docs).select(*_PLACE, "h1", "h2"), "line-places")
     # Once written, the numbers of the lines are fixed.
     distinct = written(signed(docs).withColumn("node", F.monotonically_increasing_id()), "lines")
-    found = classes(docs, distinct, threshold=threshold)
+    buckets = written(_buckets(distinct), "line-buckets")
+    # Only lines that stand more than once or share a band can go: these are read again, once.
+    shared = buckets.select("node", F.lit(True).alias("shared")).distinct()
+    wanted = distinct.select("node", "h1", "h2", "n").join(shared, "node", "left").where("shared or n > 1")
+    wanted = written(wanted, "line-wanted")
+    every = written(_marked(_lines(docs).select(*_PLACE, "h1", "h2", "norm"), wanted, wanted.count()), "line-places")
+    near = wanted.where("shared").select("h1", "h2", "node")
+    texts = _marked(every.select("h1", "h2", "norm"), near, near.count()).groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
+    texts = written(texts.join(near, ["h1", "h2"]).select("node", "norm"), "line-texts")
+    found = classes(buckets, texts, threshold=threshold)
     # The lines that stand more than once, or that have a link; of each class of them one place stays.
-    classed = distinct.select("node", "h1", "h2", "n").join(found, "node", "left").where("component is not null or n > 1")
-    kin = written(every.join(classed.select("h1", "h2", F.coalesce("component", "node").alias("class")), ["h1", "h2"]).select(*_PLACE, "class"), "line-kin")
+    classed = wanted.select("node", "h1", "h2", "n").join(found, "node", "left").where("component is not null or n > 1")
+    kin = written(every.select(*_PLACE, "h1", "h2").join(classed.select("h1", "h2", F.coalesce("component", "node").alias("class")), ["h1", "h2"]).select(*_PLACE, "class"), "line-kin")
     stays = written(kin.groupBy("class").agg(F.min(F.struct(*_PLACE)).alias("stays")), "line-stays")
     gone = kin.join(stays, "class").where(F.struct(*_PLACE) != F.col("stays"))
     return gone.groupBy(*_DOC).agg(F.array_sort(F.collect_set("pos")).alias("removed"))
